@@ -1,4 +1,8 @@
 """All queries: importing this module fills the registry."""
 
-from logharbor.plans import parsing_queries  # noqa: F401
+from logharbor.plans import (  # noqa: F401
+    feature_queries,
+    parsing_queries,
+    report_queries,
+)
 from logharbor.plans.registry import ORACLES, QUERIES  # noqa: F401
