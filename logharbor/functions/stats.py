@@ -151,3 +151,10 @@ def _ranks_of_counted(counted: DataFrame, low_rank: int, high_rank: int) -> tupl
         F.min(F.when(F.col("upto") > high_rank, F.col("v"))).alias("high"),
     ).first()
     return float(row["low"]), float(row["high"])
+
+
+def kth_smallest(df: DataFrame, column: str, k: int, small: int = 200_000) -> float:
+    """The k-th smallest value (k from 1) of a column of any cardinality."""
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    total = values.count()
+    return _ranked_values(values, total, k - 1, k - 1, small, 10_000)[0]

@@ -72,8 +72,8 @@ def alert_summary(found: DataFrame, tags: int = 5) -> DataFrame:
         .groupBy("tag").agg(rows_counted().alias("n"))
         .orderBy(F.desc("n"), "tag").limit(tags)
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "tag"))).alias("t"))
+        .select(F.transform("t", lambda t: t["tag"]))
     )
-    names = F.transform(top.scalar(), lambda t: t["tag"])
     return found.agg(
         rows_counted().alias("total_alerts"),
         F.count_if(F.col("severity") == "CRITICAL").alias("critical_alerts"),
@@ -81,7 +81,7 @@ def alert_summary(found: DataFrame, tags: int = 5) -> DataFrame:
         F.count_if(F.col("severity") == "INFO").alias("info_alerts"),
         F.min("timestamp").alias("first_alert"),
         F.max("timestamp").alias("last_alert"),
-    ).withColumn("most_common_tags", names)
+    ).withColumn("most_common_tags", top.scalar())
 
 
 def notification(df: DataFrame, generated_at: Column) -> DataFrame:

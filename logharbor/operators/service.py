@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logharbor import constants as K
-from logharbor.functions.ordering import epoch_micros, trailing_counts
+from logharbor.functions.ordering import epoch_micros, salted_lookup, trailing_counts
+from logharbor.functions.stats import as_scalar
 from logharbor.operators.report import rows_counted
 
 
@@ -38,6 +40,7 @@ def sla_metrics(
         F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"),
     )
     last = requests.orderBy(F.desc("ts"), F.desc("request_id")).limit(samples)
+    # At most ``samples`` rows, so ranking them in one task is fine.
     times = last.where((F.col("ts") >= start) & (F.col("ts") <= as_of))
     ranked = times.select(
         "response_time",
@@ -59,7 +62,8 @@ def sla_metrics(
         F.when(total > 0, (total - F.col("errors")) * 100.0 / total).otherwise(F.lit(100.0)).alias("availability"),
         F.when(total > 0, F.col("errors") * 100.0 / total).otherwise(zero).alias("error_rate"),
     )
-    return rates.join(F.broadcast(response)).select(
+    answer = as_scalar(response)
+    return rates.select("*", *[answer.getField(c).alias(c) for c in response.columns]).select(
         "*",
         (F.col("availability") >= targets["availability"]).alias("availability_ok"),
         (F.col("response_time_p95") <= targets["response_time_p95"]).alias("response_time_ok"),
@@ -90,55 +94,88 @@ def rate_limit(
     """Adds ``allowed``: fewer than ``max_requests`` allowed ones in the window before.
 
     A request with at most ``max_requests`` requests in its window, itself included, is
-    allowed whatever happened earlier. Only the rest needs the order of events: such
-    rows, together with the window before each of them, form stretches that start from a
-    known state. Stretches are distributed; inside one, rows stream in time order and the
-    state is the list of the last allowed times.
+    allowed whatever happened earlier. Only crowded requests, and the window before each
+    of them, need the order of events. Those rows fall into segments wherever a pause as
+    long as the window has emptied the state; segments are distributed, and inside one
+    the rows stream in time order with the last allowed times as the only state.
     """
-    keyed = requests.withColumn("_us", epoch_micros(F.col("ts")))
-    load = trailing_counts(requests, "ts", window_seconds, "_load", ["client_id"])
-    joined = keyed.join(load.drop("n"), ["client_id", "ts"])
     window = window_seconds * 1_000_000
-    busy_times = (
-        load.where(F.col("_load") > max_requests)
-        .select("client_id", epoch_micros(F.col("ts")).alias("_us"))
-    )
-    # One row per distinct crowded microsecond; the gap to the previous one cuts stretches.
-    order = W.partitionBy("client_id").orderBy("_us")
-    edges = busy_times.withColumn("_gap", F.col("_us") - F.lag("_us").over(order))
-    starts = F.col("_gap").isNull() | (F.col("_gap") >= 2 * window)
-    numbered = edges.withColumn(
-        "_no", F.sum(F.when(starts, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    )
-    stretches = numbered.groupBy("client_id", "_no").agg(
-        (F.min("_us") - window).alias("_from"), F.max("_us").alias("_to")
-    )
-    calm = joined.where(F.col("_load") <= max_requests)
-    inside = (
-        joined.join(stretches, "client_id")
-        .where((F.col("_us") >= F.col("_from")) & (F.col("_us") <= F.col("_to")))
-    )
-    columns = requests.columns
-    output = requests.select(*columns, F.lit(True).alias("allowed"), F.lit(0).cast("bigint").alias("_load")).schema
+    load = trailing_counts(requests, "ts", window_seconds, "_load", ["client_id"])
+    crowded = _near_crowded(load, max_requests, window)
+    segments = _segments(crowded, window)
+    times = load.select("client_id", "ts", "n").join(segments, ["client_id", "ts"], "left")
+    rows = salted_lookup(requests, times, ["client_id", "ts"], "n", ["request_id"])
+    free = rows.where(F.col("_segment").isNull()).select(*requests.columns, F.lit(True).alias("allowed"))
+    schema = free.schema
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept = None, []
-        for rows in batches:
+        key, kept = None, deque()
+        for batch in batches:
             allowed = []
-            for client, number, us in zip(rows["client_id"], rows["_no"], rows["_us"]):
-                if (client, number) != key:
-                    key, kept = (client, number), []
-                kept = [t for t in kept if us - t < window] if kept and us - kept[0] >= window else kept
-                ok = len(kept) < max_requests
-                if ok:
+            for client, segment, us in zip(batch["client_id"], batch["_segment"], batch["_us"]):
+                if (client, segment) != key:
+                    key, kept = (client, segment), deque()
+                while kept and us - kept[0] >= window:
+                    kept.popleft()
+                allowed.append(len(kept) < max_requests)
+                if allowed[-1]:
                     kept.append(us)
-                allowed.append(ok)
-            yield rows[[*columns, "_load"]].assign(allowed=allowed)[[f.name for f in output]]
+            yield batch.assign(allowed=allowed)[schema.names]
 
     decided = (
-        inside.repartition("client_id", "_no")
-        .sortWithinPartitions("client_id", "_no", "_us", "request_id")
-        .mapInPandas(fold, output)
-        .where(F.col("_load") > max_requests)
+        rows.where(F.col("_segment").isNotNull())
+        .withColumn("_us", epoch_micros(F.col("ts")))
+        .repartition("client_id", "_segment")
+        .sortWithinPartitions("client_id", "_segment", "_us", "request_id")
+        .mapInPandas(fold, schema)
+    )
+    return free.unionByName(decided)
+
+
+def _near_crowded(load: DataFrame, max_requests: int, window: int) -> DataFrame:
+    """Distinct request times that are crowded or have a crowded one within the window after."""
+    marked = load.withColumn("_us", epoch_micros(F.col("ts"))).withColumn(
+        "_crowded", (F.col("_load") > max_requests).cast("int")
+    )
+    bucket_of = lambda micros: F.floor(micros / F.lit(window))
+    copied = marked.withColumn(
+        "_bucket", F.explode(F.sequence(bucket_of(F.col("_us") - window), bucket_of(F.col("_us"))))
+    )
+    frame = W.partitionBy("client_id", "_bucket").orderBy("_us").rangeBetween(0, window)
+    return (
+        copied.withColumn("_ahead", F.max("_crowded").over(frame))
+        .where((F.col("_bucket") == bucket_of(F.col("_us"))) & (F.col("_ahead") == 1))
+        .select("client_id", "ts", "_us")
+    )
+
+
+def _segments(times: DataFrame, window: int, windows_per_block: int = 1000) -> DataFrame:
+    """Number the runs of times that are closer than the window, block by block.
+
+    A block covers a fixed span of time. Times after the first pause inside a block get
+    the block's own number; the ones before it belong to the last earlier block with a
+    pause, looked up in a table with one row per client and block.
+    """
+    keyed = times.withColumn("_block", F.floor(F.col("_us") / F.lit(window * windows_per_block)))
+    in_block = W.partitionBy("client_id", "_block").orderBy("_us")
+    by_client = W.partitionBy("client_id").orderBy("_block")
+    ends = keyed.groupBy("client_id", "_block").agg(F.max("_us").alias("_last"))
+    carried = ends.select("client_id", "_block", F.lag("_last").over(by_client).alias("_carry"))
+    before = F.coalesce(F.lag("_us").over(in_block), F.col("_carry"))
+    gaps = keyed.join(carried, ["client_id", "_block"]).withColumn("_before", before)
+    resets = gaps.withColumn(
+        "_reset", F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= window)
+    )
+    firsts = resets.groupBy("client_id", "_block").agg(
+        F.min(F.when(F.col("_reset"), F.col("_us"))).alias("_first")
+    )
+    earlier = by_client.rowsBetween(W.unboundedPreceding, -1)
+    anchored = firsts.withColumn(
+        "_anchor",
+        F.last(F.when(F.col("_first").isNotNull(), F.col("_block")), ignorenulls=True).over(earlier),
+    )
+    return resets.join(anchored, ["client_id", "_block"]).select(
+        "client_id", "ts",
+        F.when(F.col("_us") >= F.col("_first"), F.col("_block"))
+        .otherwise(F.col("_anchor")).alias("_segment"),
     )
-    return calm.select(*columns, F.lit(True).alias("allowed")).unionByName(decided.select(*columns, "allowed"))

@@ -4,5 +4,6 @@ from logharbor.plans import (  # noqa: F401
     feature_queries,
     parsing_queries,
     report_queries,
+    service_queries,
 )
 from logharbor.plans.registry import ORACLES, QUERIES  # noqa: F401
