@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 EPSILON = 1e-8
 
@@ -139,13 +139,19 @@ def _ranked_values(
         current, below, size = current.where(inside), less, kept
     # Ties collapse here: one row per distinct value of what is left.
     counted = current.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    return _ranks_of_counted(counted, low_rank - below, high_rank - below)
+    return _ranks_of_counted(counted, low_rank - below, high_rank - below, size <= small)
 
 
-def _ranks_of_counted(counted: DataFrame, low_rank: int, high_rank: int) -> tuple[float, float]:
+def _ranks_of_counted(
+    counted: DataFrame, low_rank: int, high_rank: int, few: bool
+) -> tuple[float, float]:
     from logharbor.functions.ordering import running_total
 
-    totals = running_total(counted, order="v", amount="n", output="upto")
+    if few:
+        upto = F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+        totals = counted.withColumn("upto", upto)
+    else:
+        totals = running_total(counted, order="v", amount="n", output="upto")
     row = totals.agg(
         F.min(F.when(F.col("upto") > low_rank, F.col("v"))).alias("low"),
         F.min(F.when(F.col("upto") > high_rank, F.col("v"))).alias("high"),

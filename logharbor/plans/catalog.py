@@ -1,6 +1,7 @@
 """All queries: importing this module fills the registry."""
 
 from logharbor.plans import (  # noqa: F401
+    detector_queries,
     feature_queries,
     parsing_queries,
     report_queries,
