@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from logharbor.session import durable
+
 EPSILON = 1e-8
 
 
@@ -84,16 +86,19 @@ def exact_quantiles(
     quantiles: list[float],
     small: int = 200_000,
     accuracy: int = 10_000,
+    costly: bool = False,
 ) -> list[float | None]:
     """Exact linearly interpolated quantiles of a column of any cardinality.
 
     Each round brackets the wanted rank with a mergeable sketch and keeps only the rows
     inside the bracket (about ``4 / accuracy`` of them), so two rounds bring 10^12 rows
     below a million. Only scalars travel to the driver and no task sees more than the
-    last bracket, counted by distinct value.
+    last bracket, counted by distinct value. A ``costly`` column is computed once and
+    kept on shared storage for the passes.
     """
     value = F.col(column).cast("double")
     values = df.select(value.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    values = durable(values) if costly else values
     total = values.count()
     if total == 0:
         return [None] * len(quantiles)

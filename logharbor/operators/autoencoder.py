@@ -64,8 +64,9 @@ class Autoencoder:
             self.b_in = self.b_in - step[a:b]
             self.w_out = self.w_out - step[b:c].reshape(h, d)
             self.b_out = self.b_out - step[c:c + d]
-        errors = durable(self.scored(df).select("reconstruction_error"))
-        self.threshold = exact_quantiles(errors, "reconstruction_error", [self.quantile])[0]
+        self.threshold = exact_quantiles(
+            self.scored(df), "reconstruction_error", [self.quantile], costly=True
+        )[0]
         return self
 
     def scored(self, df: DataFrame) -> DataFrame:

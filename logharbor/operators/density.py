@@ -9,7 +9,6 @@ they touch. Equal points are one weighted point.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -21,44 +20,58 @@ from logharbor.session import durable
 _MAX_FEATURES = 4
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, label``: the smallest node id of each component.
 
-    ``edges`` holds (a, b) pairs of node ids. Every round takes the smallest label among
-    the neighbours and then follows labels once (pointer jumping), so paths shrink fast.
-    Labels are written to shared storage after each round.
+    ``edges`` holds (a, b) pairs of node ids. In each round every node points to its
+    smallest smaller neighbour, pointers are followed to their roots, and the graph is
+    contracted to the roots with repeated edges dropped. Nodes with a smaller neighbour
+    vanish, so at least half of the connected nodes go in every round. Each round is
+    written to shared storage.
     """
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(nodes.select("node", F.col("node").alias("label")))
+    labels = nodes.select("node", F.col("node").alias("label"))
+    current = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     for _ in range(rounds):
-        around = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        )
-        lowered = labels.join(around, "node", "left").select(
-            "node", F.col("label").alias("was"), F.least("label", F.coalesce("seen", "label")).alias("label")
+        if current.isEmpty():
+            return labels
+        parents = _roots(current.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
+        moved = parents.select(F.col("node").alias("label"), F.col("up"))
+        labels = durable(
+            labels.join(moved, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
         )
-        jump = lowered.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        stepped = durable(
-            lowered.join(jump, "label", "left").select(
-                "node", "was", F.least("label", F.coalesce("next", "label")).alias("label")
-            )
+        root_of = lambda end: F.coalesce(F.col(f"up_{end}"), F.col(end))
+        ends = current
+        for end in ("a", "b"):
+            ends = ends.join(parents.select(F.col("node").alias(end), F.col("up").alias(f"up_{end}")), end, "left")
+        contracted = ends.select(
+            F.least(root_of("a"), root_of("b")).alias("a"), F.greatest(root_of("a"), root_of("b")).alias("b")
         )
-        changed = stepped.where(F.col("was") != F.col("label")).limit(1).count()
-        labels = stepped.select("node", "label")
-        if not changed:
-            return labels
+        current = durable(contracted.where("a < b").distinct())
     raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
-def _offsets(d: int) -> list[list[int]]:
-    """Relative positions of the cells that can hold points within one cell diagonal."""
+def _roots(parents: DataFrame) -> DataFrame:
+    """Follow ``node → up`` pointers to the nodes that have none, doubling each time."""
+    pointers = durable(parents)
+    while True:
+        above = pointers.select(F.col("node").alias("up"), F.col("up").alias("further"))
+        stepped = pointers.join(above, "up", "left")
+        if stepped.where(F.col("further").isNotNull()).isEmpty():
+            return pointers
+        pointers = durable(stepped.select("node", F.coalesce("further", "up").alias("up")))
+
+
+def _with_near_cells(cells: DataFrame, d: int) -> DataFrame:
+    """Adds ``near_cell``: the positions that can hold points within one cell diagonal."""
     reach = math.ceil(math.sqrt(d))
-    near = []
-    for offset in itertools.product(range(-reach, reach + 1), repeat=d):
-        if sum(max(abs(o) - 1, 0) ** 2 for o in offset) <= d:
-            near.append(list(offset))
-    return near
+    rows, gap = cells, F.lit(0)
+    for i in range(d):
+        steps = F.sequence(F.lit(-reach).cast("bigint"), F.lit(reach).cast("bigint"))
+        rows = rows.select("*", F.explode(steps).alias(f"_o{i}"))
+        apart = F.greatest(F.abs(F.col(f"_o{i}")) - 1, F.lit(0))
+        gap = gap + apart * apart
+    near = F.array(*[F.col("cell")[i] + F.col(f"_o{i}") for i in range(d)])
+    return rows.where(gap <= d).select(*cells.columns, near.alias("near_cell"))
 
 
 def _squared(a: str, b: str, d: int) -> Column:
@@ -81,10 +94,7 @@ def dbscan_points(points: DataFrame, d: int, eps: float, min_samples: int) -> Da
         points.withColumn("cell", F.transform("x", lambda v: F.floor(v / side).cast("bigint")))
     )
     cells = gridded.groupBy("cell").agg(F.sum("w").alias("weight"), F.min("gid").alias("node"))
-    offsets = F.array(*[F.array(*[F.lit(o).cast("bigint") for o in off]) for off in _offsets(d)])
-    around = cells.select("cell", "node", "weight", F.explode(offsets).alias("o")).select(
-        "cell", "node", "weight", F.zip_with("cell", "o", lambda c, o: c + o).alias("near_cell")
-    )
+    around = _with_near_cells(cells, d)
     near = durable(
         around.join(
             cells.select(F.col("cell").alias("near_cell"), F.col("node").alias("near_node")), "near_cell"

@@ -10,12 +10,14 @@ from logharbor.functions.stats import EPSILON, as_scalar, exact_quantiles, fitte
 AUTO_OFFSET = -0.5
 
 
-def score_cut(df: DataFrame, score: str, contamination: float | str) -> float | None:
+def score_cut(
+    df: DataFrame, score: str, contamination: float | str, costly: bool = False
+) -> float | None:
     """The score below which the given share of rows lies; ``'auto'`` is a fixed cut."""
     share = check_contamination(contamination)
     if share == "auto":
         return AUTO_OFFSET
-    return exact_quantiles(df, score, [share])[0]
+    return exact_quantiles(df, score, [share], costly=costly)[0]
 
 
 def flag_below(df: DataFrame, score: str, cut: float | None) -> DataFrame:
@@ -24,8 +26,10 @@ def flag_below(df: DataFrame, score: str, cut: float | None) -> DataFrame:
     return df.withColumn("is_anomaly", F.coalesce(flagged, F.lit(False)).cast("int"))
 
 
-def cut_by_contamination(df: DataFrame, score: str, contamination: float | str) -> DataFrame:
-    return flag_below(df, score, score_cut(df, score, contamination))
+def cut_by_contamination(
+    df: DataFrame, score: str, contamination: float | str, costly: bool = False
+) -> DataFrame:
+    return flag_below(df, score, score_cut(df, score, contamination, costly))
 
 
 def with_confidence(df: DataFrame, score: str = "anomaly_score") -> DataFrame:

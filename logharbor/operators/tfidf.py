@@ -38,12 +38,13 @@ def term_counts(
     The term arrays are placed by row key once; counting per row and term and the later
     norms per row all happen in that placement.
     """
-    words = df.select(*key, tokens(F.coalesce(text, F.lit("")), stop_words).alias("w"))
-    terms = words.select(*key, (with_bigrams(F.col("w")) if bigrams else F.col("w")).alias("t"))
+    words = tokens(F.coalesce(text, F.lit("")), stop_words)
+    terms = df.select(*key, (X.let(words, with_bigrams) if bigrams else words).alias("t"))
+    # The outer form keeps the optimizer from testing the arrays a second time.
     return (
-        terms.where(F.size("t") > 0)
-        .repartition(*key)
-        .select(*key, F.explode("t").alias("term"))
+        terms.repartition(*key)
+        .select(*key, F.explode_outer("t").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy(*key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

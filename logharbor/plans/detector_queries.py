@@ -173,7 +173,7 @@ SELECT p AS vec_id, round(s, 6) AS anomaly_score, CAST(s < (SELECT quantile_cont
 )
 def detect_lof(spark, sf_dir):
     rows = local_outlier_factor(views.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=20)
-    flagged = Z.cut_by_contamination(rows, "anomaly_score", 0.05)
+    flagged = Z.cut_by_contamination(rows, "anomaly_score", 0.05, costly=True)
     return rounded(flagged.select("vec_id", "anomaly_score", "is_anomaly"), "anomaly_score")
 
 

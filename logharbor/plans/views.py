@@ -72,7 +72,12 @@ _DUCK = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table. One that comes in fewer splits than there are cores (a single row
+    group, say) is spread by rows, or all later work on it would run in one task; a table
+    of many splits is read as it is, without a shuffle."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def _view(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
