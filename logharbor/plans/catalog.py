@@ -6,5 +6,6 @@ from logharbor.plans import (  # noqa: F401
     parsing_queries,
     report_queries,
     service_queries,
+    streaming_queries,
 )
 from logharbor.plans.registry import ORACLES, QUERIES  # noqa: F401

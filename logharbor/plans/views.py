@@ -115,6 +115,20 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, _render(_VOTES, _SPARK), events=table(spark, sf_dir, "events"))
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # A pattern matches the table as a single file and as a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque?")
+
+
+def scored_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, _render(_APP_LOGS, _SPARK, _SCORES), events=_event_stream(spark, sf_dir))
+
+
+def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, _render(_REQUESTS, _SPARK), events=_event_stream(spark, sf_dir))
+
+
 _SQL = {
     "app_logs": _render(_APP_LOGS, _DUCK),
     "logs": _render(_APP_LOGS, _DUCK, _SCORES),
