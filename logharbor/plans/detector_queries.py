@@ -322,3 +322,25 @@ def feedback_refit(spark, sf_dir):
         vector_to_array("probability")[1].alias("anomaly_score"),
     )
     return rounded(scored, "anomaly_score")
+
+
+@query("detect_general")
+def general(spark, sf_dir):
+    """All features, reduction, scaling and an isolation forest."""
+    from logharbor.config import DetectorConfig
+    from logharbor.operators.detector import AnomalyDetector
+
+    config = DetectorConfig(max_features=200, n_components=10, n_estimators=50)
+    found = AnomalyDetector(config).fit_transform(views.app_logs(spark, sf_dir))
+    return rounded(found.select(*FLAGS, "confidence"), "anomaly_score", "confidence")
+
+
+@query("detect_vote")
+def vote(spark, sf_dir):
+    """Isolation forest, one-class SVM and local outlier factor on all features, two of three."""
+    from logharbor.config import DetectorConfig
+    from logharbor.operators.detector import AnomalyDetector
+
+    config = DetectorConfig(algorithm="ensemble", max_features=100, n_components=6, n_estimators=25)
+    found = AnomalyDetector(config).fit_transform(views.app_logs(spark, sf_dir))
+    return rounded(found.select(*FLAGS, "confidence"), "anomaly_score", "confidence")

@@ -206,3 +206,38 @@ def event_types(spark, sf_dir):
     return logs.groupBy(X.event_type(F.col("message")).alias("event_type"), "level").agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+@query(
+    "parse_text_files",
+    views.with_views("raw_lines", PARSED_CTE + "SELECT level, count(*) AS n, count(timestamp) AS timed FROM logs GROUP BY level"),
+)
+def parse_text_files(spark, sf_dir):
+    """Lines written as text files, read back with line numbers and parsed."""
+    from logharbor.session import shared_dir
+    from logharbor.sources.text import read_log_lines
+
+    folder = shared_dir(spark, "lines")
+    views.raw_lines(spark, sf_dir).select("line").write.text(folder)
+    logs = parsing.LogParser().parse(read_log_lines(spark, folder))
+    return logs.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count("timestamp").alias("timed"))
+
+
+@query(
+    "line_numbers",
+    views.with_views("raw_lines", "SELECT count(*) AS total, count(DISTINCT line_number) AS different, true AS gapless FROM raw_lines"),
+)
+def line_numbers(spark, sf_dir):
+    """Lines of files of any block layout are numbered 1 … n in each file."""
+    from logharbor.session import shared_dir
+    from logharbor.sources.text import read_log_lines
+
+    folder = shared_dir(spark, "lines")
+    views.raw_lines(spark, sf_dir).select("line").write.text(folder)
+    files = read_log_lines(spark, folder).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("line_number").alias("d"), F.max("line_number").alias("m")
+    )
+    return files.agg(
+        F.sum("n").alias("total"), F.sum("d").alias("different"),
+        F.bool_and((F.col("n") == F.col("m")) & (F.col("n") == F.col("d"))).alias("gapless"),
+    )
