@@ -17,8 +17,20 @@ LINES_PER_BLOCK = 1_000_000
 
 
 def epoch_micros(ts: Column) -> Column:
-    """Microseconds since 1970, also for timestamps without a zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    """Clock microseconds since 1970, whatever the session's time zone is."""
+    seconds = F.extract(F.lit("SECOND"), ts)
+    whole = F.unix_date(F.to_date(ts)).cast("bigint") * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60
+    return whole * 1_000_000 + (seconds * 1_000_000).cast("bigint")
+
+
+def micros_between(start: Column, end: Column) -> Column:
+    return epoch_micros(end) - epoch_micros(start)
+
+
+def hour_start(ts: Column) -> Column:
+    """The full hour, by clock arithmetic: independent of the session's time zone."""
+    past = F.make_dt_interval(F.lit(0), F.lit(0), F.minute(ts), F.extract(F.lit("SECOND"), ts))
+    return ts - past
 
 
 def with_previous(
@@ -146,8 +158,13 @@ def trailing_counts(
     )
 
 
+_ROWS_PER_PIECE = 5_000_000
+
+
 def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The session's number of shuffle partitions, or more if pieces would get too long."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, -(-df.count() // _ROWS_PER_PIECE))
 
 
 def range_chunks(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:

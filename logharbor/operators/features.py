@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logharbor import constants as K
 from logharbor.functions import text as X
-from logharbor.functions.ordering import centred_counts, salted_lookup, with_previous
+from logharbor.functions.ordering import centred_counts, micros_between, salted_lookup, with_previous
 
 ROW_KEY = ("source", "line_number")
 
@@ -144,14 +144,20 @@ def with_csv_enrichment(df: DataFrame) -> DataFrame:
     )
 
 
+def known_levels(df: DataFrame, most: int = 1000) -> list[str]:
+    """The upper-cased levels that occur."""
+    found = df.select(F.upper("level").alias("l")).where("l IS NOT NULL").distinct().limit(most + 1)
+    levels = sorted(row["l"] for row in found.collect())
+    if len(levels) > most:
+        raise ValueError(f"more than {most} different levels; check the parsing patterns")
+    return levels
+
+
 def level_one_hot(df: DataFrame, levels: list[str] | None = None) -> DataFrame:
     """One 0/1 column per upper-cased level. The levels found are collected once (a log
     format has a handful; more than a thousand is taken for a parsing mistake)."""
     if levels is None:
-        found = df.select(F.upper("level").alias("l")).where("l IS NOT NULL").distinct().limit(1001)
-        levels = sorted(row["l"] for row in found.collect())
-        if len(levels) > 1000:
-            raise ValueError("more than 1000 different levels; check the parsing patterns")
+        levels = known_levels(df)
     upper = F.upper("level")
     return df.select(
         "*", *[F.coalesce((upper == lv).cast("int"), F.lit(0)).alias(f"level_{lv}") for lv in levels]
@@ -162,7 +168,7 @@ def with_time_diff(df: DataFrame, block: int | None = None) -> DataFrame:
     """Seconds since the previous line of the same source; 0 where either time is missing."""
     options = {} if block is None else {"block": block}
     rows = with_previous(df, "timestamp", "_prev", **options)
-    micros = F.timestamp_diff("MICROSECOND", F.col("_prev"), F.col("timestamp"))
+    micros = micros_between(F.col("_prev"), F.col("timestamp"))
     seconds = F.coalesce(micros / F.lit(1e6), F.lit(0.0))
     return rows.withColumn("time_diff_seconds", seconds).drop("_prev")
 

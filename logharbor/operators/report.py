@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logharbor import constants as K
 from logharbor.functions import text as X
+from logharbor.functions.ordering import hour_start, micros_between
 from logharbor.functions.stats import as_scalar, bin_index
 
 
@@ -101,7 +102,7 @@ def hourly_timeline(df: DataFrame) -> DataFrame:
     """Hours that occur."""
     return (
         df.where(F.col("timestamp").isNotNull())
-        .groupBy(F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("hour"))
+        .groupBy(hour_start(F.col("timestamp")).alias("hour"))
         .agg(F.count_if(flagged()).alias("anomalies"), rows_counted().alias("total"))
     )
 
@@ -215,7 +216,7 @@ def seasonality(df: DataFrame, least_rows: int = 48) -> DataFrame:
 
 def time_range(df: DataFrame) -> DataFrame:
     ends = df.agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"))
-    micros = F.timestamp_diff("MICROSECOND", F.col("start_time"), F.col("end_time"))
+    micros = micros_between(F.col("start_time"), F.col("end_time"))
     return ends.withColumn("duration_hours", micros / F.lit(3.6e9))
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from logharbor import constants as K
 from logharbor.functions.ordering import with_halo
 from logharbor.functions.text import event_type
 
+KINDS = len(K.EVENT_TYPE_KEYWORDS) + 1
+_SMALL = 100_000
 ORDER = ("timestamp", "source", "line_number")
 
 
@@ -30,6 +33,9 @@ def sequence_scores(df: DataFrame, length: int = 3, partitions: int | None = Non
     )
     total = counts.agg(F.sum("n")).scalar()
     shares = counts.select("gram", (F.col("n") / total).alias("share"))
+    if KINDS**length <= _SMALL:
+        # There cannot be more different n-grams than this, however long the log is.
+        shares = F.broadcast(shares)
     covered = order.rowsBetween(-reach, 0)
     context = [F.lag("gram", k).over(order) if k else F.col("gram") for k in range(reach, -1, -1)]
     return (

@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logharbor import constants as K
-from logharbor.functions.ordering import epoch_micros, salted_lookup, trailing_counts
+from logharbor.functions.ordering import epoch_micros, hour_start, salted_lookup, trailing_counts
 from logharbor.functions.stats import as_scalar
 from logharbor.operators.report import rows_counted
 
 
 def hourly_requests(requests: DataFrame) -> DataFrame:
-    return requests.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
+    return requests.groupBy(hour_start(F.col("ts")).alias("hour")).agg(
         rows_counted().alias("requests"), F.count_if(~F.col("success")).alias("errors")
     )
 

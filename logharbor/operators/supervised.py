@@ -17,6 +17,7 @@ from logharbor.functions import text as X
 from logharbor.functions.stats import kth_smallest
 from logharbor.operators.features import with_error_keywords
 from logharbor.operators.tfidf import tokens
+from logharbor.session import durable
 
 
 def heuristic_labels(
@@ -90,6 +91,8 @@ class RandomForestDetector:
 
     def fit(self, df: DataFrame) -> "RandomForestDetector":
         rows = balanced_weights(heuristic_labels(self.features(df), self.contamination))
+        # The stages read the rows again and again: keep what they need.
+        rows = durable(rows.select("_tokens", *self.numeric, "label", "weight"))
         stages = [
             CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=self.terms),
             IDF(inputCol="_tf", outputCol="_tfidf"),
@@ -149,7 +152,9 @@ class GradientBoostingSearch:
         self.history: list[tuple[int, float, str]] = []
 
     def fit(self, df: DataFrame, parallelism: int = 4) -> "GradientBoostingSearch":
-        data = VectorAssembler(inputCols=self.features, outputCol="_features").transform(df)
+        # Trials times folds times rounds of passes follow.
+        kept = durable(df.select(*self.features, self.label))
+        data = VectorAssembler(inputCols=self.features, outputCol="_features").transform(kept)
         booster = GBTClassifier(featuresCol="_features", labelCol=self.label, seed=self.seed)
         chooser = random.Random(self.seed)
         grids, drawn = [], []

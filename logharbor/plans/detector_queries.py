@@ -297,7 +297,7 @@ def _documents(spark, sf_dir):
 @query("automl_gbt")
 def automl_gbt(spark, sf_dir):
     """Boosted trees for the document quality label; a short search."""
-    rows = _documents(spark, sf_dir).persist()
+    rows = _documents(spark, sf_dir)
     search = GradientBoostingSearch(
         _DOCUMENT, "quality", trials=2, estimators=(3, 6), depth=(2, 4)
     ).fit(rows)

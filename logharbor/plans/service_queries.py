@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logharbor import constants as K
 from logharbor.config import AlertConfig
+from logharbor.functions.ordering import hour_start
 from logharbor.operators import alerts as A
 from logharbor.operators import service as S
 from logharbor.plans import views
@@ -145,7 +146,7 @@ def metric_status(spark, sf_dir):
     events = views.table(spark, sf_dir, "events")
     metric = F.when(F.col("user_id") % 3 == 0, "memory").when(F.col("user_id") % 3 == 1, "cpu").otherwise("disk")
     metrics = events.groupBy(
-        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"), metric.alias("metric")
+        hour_start(F.col("ts")).alias("time"), metric.alias("metric")
     ).agg((F.max("value") / 5).alias("value"))
     return rounded(S.metric_status(metrics), "value")
 
