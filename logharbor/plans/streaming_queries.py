@@ -113,8 +113,8 @@ SELECT request_id, client_id, allowed FROM f""",
 )
 def stream_rate_limit(spark, sf_dir):
     folder = shared_dir(spark, "limited")
-    limited = M.limited_requests(views.request_stream(spark, sf_dir), 4, 6 * 3600)
-    _drain(limited, lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/batch={n}"))
+    decide = M.RateLimitBatches(folder, shared_dir(spark, "limit-state"), 4, 6 * 3600)
+    _drain(views.request_stream(spark, sf_dir), decide)
     return spark.read.parquet(folder).select("request_id", "client_id", "allowed")
 
 

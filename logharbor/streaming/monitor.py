@@ -6,13 +6,17 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logharbor.config import AlertConfig
+from logharbor.functions.ordering import micros_between
 from logharbor.operators.parsing import LogParser
 from logharbor.operators.report import flagged, rows_counted
+from logharbor.operators.service import rate_limit
+from logharbor.session import durable
 
 Deliver = Callable[[DataFrame, int], None]
 
@@ -163,36 +167,42 @@ def throttled_alerts(candidates: DataFrame, config: AlertConfig = AlertConfig())
     )
 
 
-def limited_requests(requests: DataFrame, max_requests: int = 100, window_seconds: int = 60) -> DataFrame:
-    """Adds ``allowed`` per client: the state is the times of the allowed requests inside
-    the window, at most ``max_requests`` numbers.
+class RateLimitBatches:
+    """Batch function that decides which requests of a stream are allowed.
 
-    Requests that arrive in one batch are taken in time order.
+    A batch is decided by the distributed ``rate_limit`` together with the state: the
+    allowed requests inside the last window of each client, at most ``max_requests`` per
+    client, kept in one small table per batch. A batch that runs again starts from the
+    same state and replaces its output.
     """
-    window = window_seconds * 1_000_000
 
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(batches).sort_values(["us", "request_id"])
-        allowed = []
-        for us in rows["us"]:
-            while kept and us - kept[0] >= window:
-                kept.pop(0)
-            allowed.append(len(kept) < max_requests)
-            if allowed[-1]:
-                kept.append(int(us))
-        state.update((kept,))
-        yield rows.assign(allowed=allowed)[["request_id", "client_id", "us", "allowed"]]
-
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return (
-        requests.select("request_id", "client_id", micros.alias("us"))
-        .groupBy("client_id")
-        .applyInPandasWithState(
-            decide, "request_id bigint, client_id string, us bigint, allowed boolean", "kept array<bigint>",
-            "append", GroupStateTimeout.NoTimeout,
+    def __init__(self, output: str, state: str, max_requests: int = 100, window_seconds: int = 60) -> None:
+        self.output, self.state = output, state
+        self.max_requests, self.window_seconds = max_requests, window_seconds
+
+    def _carried(self, spark: SparkSession, number: int) -> DataFrame | None:
+        try:
+            states = spark.read.parquet(self.state).where(F.col("batch") < number)
+        except AnalysisException:
+            return None
+        latest = states.agg(F.max("batch")).first()[0]
+        return None if latest is None else states.where(F.col("batch") == latest).drop("batch")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        carried = self._carried(batch.sparkSession, number)
+        rows = batch.withColumn("carried", F.lit(False))
+        if carried is not None:
+            rows = rows.unionByName(carried.withColumn("carried", F.lit(True)))
+        decided = durable(rate_limit(rows, self.max_requests, self.window_seconds))
+        decided.where(~F.col("carried")).drop("carried").write.mode("overwrite").parquet(
+            f"{self.output}/batch={number}"
         )
-    )
+        ends = decided.groupBy("client_id").agg(F.max("ts").alias("last"))
+        inside = micros_between(F.col("ts"), F.col("last")) < self.window_seconds * 1_000_000
+        kept = decided.where("allowed").join(ends, "client_id").where(inside)
+        kept.select(*batch.columns).write.mode("overwrite").parquet(f"{self.state}/batch={number}")
 
 
 def rolling_service_levels(requests: DataFrame, length: str = "24 hours", step: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

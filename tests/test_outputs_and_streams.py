@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
@@ -171,3 +172,27 @@ def test_plugins(spark, scored):
     lines = lines_from_memory(spark, ["a=1", "nothing", "b=2"])
     assert [(r["line_number"], r["k"], r["v"]) for r in KeyValue().parse(lines).orderBy("line_number").collect()] == [(1, "a", "1"), (3, "b", "2")]
     assert not KeyValue().can_parse(lines) and KeyValue().can_parse(lines.where("line_number <> 2"))
+
+
+def test_rate_limit_remembers_earlier_batches(spark, tmp_path):
+    pick = random.Random(2)
+    base, now, rows = dt.datetime(2024, 1, 1), 0, []
+    for i in range(240):
+        now += pick.choice([0, 1, 2, 40])
+        rows.append((i, "hot" if pick.random() < 0.8 else "cold", base + dt.timedelta(seconds=now)))
+    kept: dict[str, list] = {}
+    expected = []
+    for i, client, at in rows:
+        kept[client] = [t for t in kept.get(client, []) if (at - t).total_seconds() < 60]
+        expected.append((i, len(kept[client]) < 3))
+        if expected[-1][1]:
+            kept[client].append(at)
+    schema = "request_id bigint, client_id string, ts timestamp_ntz"
+    decide = M.RateLimitBatches(str(tmp_path / "out"), str(tmp_path / "state"), 3, 60)
+    for number, start in enumerate((0, 80, 160)):
+        batch = spark.createDataFrame(rows[start:start + 80], schema)
+        decide(batch, number)
+        if number == 1:
+            decide(batch, number)
+    got = sorted((r["request_id"], r["allowed"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == expected
