@@ -12,6 +12,7 @@ from logharbor import constants as K
 from logharbor.functions.ordering import epoch_micros, hour_start, salted_lookup, trailing_counts
 from logharbor.functions.stats import as_scalar
 from logharbor.operators.report import rows_counted
+from logharbor.session import durable
 
 
 def hourly_requests(requests: DataFrame) -> DataFrame:
@@ -100,9 +101,9 @@ def rate_limit(
     the rows stream in time order with the last allowed times as the only state.
     """
     window = window_seconds * 1_000_000
-    load = trailing_counts(requests, "ts", window_seconds, "_load", ["client_id"])
-    crowded = _near_crowded(load, max_requests, window)
-    segments = _segments(crowded, window)
+    # One slim row per client and distinct time, read several times below.
+    load = durable(trailing_counts(requests, "ts", window_seconds, "_load", ["client_id"]))
+    segments = durable(_segments(durable(_near_crowded(load, max_requests, window)), window))
     times = load.select("client_id", "ts", "n").join(segments, ["client_id", "ts"], "left")
     rows = salted_lookup(requests, times, ["client_id", "ts"], "n", ["request_id"])
     free = rows.where(F.col("_segment").isNull()).select(*requests.columns, F.lit(True).alias("allowed"))
