@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logharbor.session import shared_dir
 
@@ -83,7 +84,8 @@ def with_running_total(df: DataFrame, order: Sequence[str], value: str, purpose:
     The rows are sorted into ranges; each range counts for itself, and the driver sees two numbers
     for each range only. ``order`` must end in something unique where ties matter.
     """
-    schema = df.schema.add("range_", "int").add("position", "long").add("before", "long")
+    schema = T.StructType([*df.schema.fields, T.StructField("range_", T.IntegerType())])
+    schema = schema.add("position", T.LongType()).add("before", T.LongType())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

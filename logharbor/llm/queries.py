@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logharbor.llm import block_naming
+from logharbor.llm import block_naming, chat_format, packing, source_mix, token_counts
 from logharbor.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +39,53 @@ def _query(name: str, sql: str | None = None):
 )
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@_query("op4_source_mix")
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = source_mix.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op7_pattern_packing")
+def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+#: The shortest texts that hold control strings, as a conversation of their own.
+_PROBE = """
+    SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text
+    FROM VALUES (-1, 0, 'user'), (-1, 1, 'assistant') AS probe(conv_id, turn, role)
+"""
+_MARK = r"([<\[])(\\*)(\|(?:turn|body|part|end|image|audio|document|im_start|im_end|endoftext)\|>|/?s>|/?INST\])"
+
+
+@_query(
+    "op1_chat_format",
+    f"""
+    WITH turns AS (
+      SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+      UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    sized AS (
+      SELECT *, length('<|turn|>' || '<|body|>' || '<|end|>')
+                + length(regexp_replace(role, '{_MARK}', '\\1\\2#\\3', 'g'))
+                + length(regexp_replace(text, '{_MARK}', '\\1\\2#\\3', 'g')) AS chars
+      FROM turns)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM sized GROUP BY conv_id
+    """,
+)
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(_PROBE))
+    parted = turns.withColumn("parts", chat_format.text_parts(F.col("text")))
+    return chat_format.digest(chat_format.format_chats(parted))
