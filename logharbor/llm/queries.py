@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm import block_naming, chat_format, packing, source_mix, token_counts
+from logharbor.llm import block_naming, chat_format, packing, quality, source_mix, token_counts
 from logharbor.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(_PROBE))
     parted = turns.withColumn("parts", chat_format.text_parts(F.col("text")))
     return chat_format.digest(chat_format.format_chats(parted))
+
+
+@_query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
