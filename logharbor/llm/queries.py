@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm import block_naming, chat_format, packing, quality, source_mix, token_counts
+from logharbor.llm import block_naming, chat_format, cover_tree, packing, quality, source_mix, token_counts
 from logharbor.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_quality")
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op2_near_vectors")
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
