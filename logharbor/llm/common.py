@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +73,34 @@ def sums_between(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def letters_of_bytes() -> dict[str, int]:
+    """Bytes by the letters that stand for them in a byte-level vocabulary: printable ones for themselves,
+    the others, in order, from code point 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
+
+
+class Remembered(dict):
+    """Values found once for each key. The keys of the last ``2 * limit`` findings are remembered, in two
+    generations, so what is asked for often stays; long keys are found anew each time."""
+
+    def __init__(self, find: Callable[[str], object], limit: int, longest: int = 64) -> None:
+        super().__init__()
+        self._find, self._limit, self._longest, self._older = find, limit, longest, {}
+
+    def __missing__(self, key: str) -> object:
+        value = self._older.get(key)
+        if value is None:
+            value = self._find(key)
+        if len(key) <= self._longest:
+            if len(self) >= self._limit:
+                self._older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def unit_interval(*columns: Column) -> Column:
     """A number in (0, 1) that depends on the given values alone."""
     return (F.pmod(F.xxhash64(*columns), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)

@@ -16,16 +16,18 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from logharbor.llm.common import kept, texts, with_running_total
+from logharbor.llm.common import Remembered, kept, letters_of_bytes, texts, with_running_total
 
-#: The splitting rule of the word vocabulary on printable ASCII (fixed value of the tokenizer).
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: The splitting rule of the word vocabulary (fixed value of the tokenizer) on printable ASCII and the letters of Latin-1.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _CLASSES = 64
 _PARTS = 4
 
@@ -34,54 +36,40 @@ class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit numbers, for a vocabulary with word ends.
 
     Words are looked up between blanks and line feeds, which end a token in any case. Unknown words of
-    printable ASCII are split here and merged by the library's model; all others go through the whole
-    library. Found words are remembered up to a bound.
+    plain characters are split here and merged by the library's model; all others go through the whole
+    library.
     """
 
-    def __init__(self, vocabulary: str, remembered: int = 400_000) -> None:
+    def __init__(self, vocabulary: str, remembered: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_str(vocabulary)
         self._marks = [token.content for token in self._library.get_added_tokens_decoder().values()]
-        self._remembered = remembered
-        self._words: dict[str, bytes] = {"": b""}
-        self._parts: dict[str, list[int]] = {}
-
-    def _ascii(self, word: str) -> bytes:
-        ids: list[int] = []
-        for part in _ASCII_WORDS.findall(word.lower()):
-            found = self._parts.get(part)
-            if found is None:
-                found = [token.id for token in self._library.model.tokenize(part)]
-                if len(part) <= 64:
-                    self._parts[part] = found
-            ids += found
-        return np.array(ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that are not remembered; long ones are found anew each time."""
-        new: dict[str, bytes] = {}
-        other = []
-        for word in set(words).difference(self._words):
-            if word.isascii() and word.isprintable() and not any(mark in word for mark in self._marks):
-                new[word] = self._ascii(word)
-            else:
-                other.append(word)
-        for word, found in zip(other, self._library.encode_batch(other, add_special_tokens=False)):
-            new[word] = np.array(found.ids, "<u4").tobytes()
-        if len(self._words) + len(self._parts) > self._remembered:
-            self._words, self._parts = {"": b""}, {}
-        self._words.update((word, ids) for word, ids in new.items() if len(word) <= 64)
-        return new
+        self._letters = {b: c for c, b in letters_of_bytes().items()}
+        self._parts = Remembered(self._part, remembered // 2)
+        self._words = Remembered(self._word, remembered)
+
+    def _part(self, part: str) -> bytes:
+        """One piece between splits, merged by the model."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self._letters)
+        return np.array([token.id for token in self._library.model.tokenize(part)], "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if _PLAIN.fullmatch(word) and not ("<" in word and any(mark in word for mark in self._marks)):
+            return b"".join(map(self._parts.__getitem__, _WORDS.findall(word.lower())))
+        return np.array(self._library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self._words.__getitem__, words))
-        except KeyError:
-            before = self._words
-            known = self._learn(words)
-            return b"".join([known[w] if w in known else before[w] for w in words])
+        return b"".join(map(self._words.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+@lru_cache(maxsize=1)
+def word_ids(vocabulary: str) -> WordIds:
+    """One for each Python worker, so that later tasks find the words of earlier ones."""
+    return WordIds(vocabulary)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -94,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     width = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(shared.value)
+        words = word_ids(shared.value)
         for batch in batches:
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
             for number, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

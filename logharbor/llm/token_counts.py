@@ -3,7 +3,7 @@
 Before any text is read, every string of the vocabulary is encoded alone; those that come back as one
 token are proven whole. A text is cut where the tokenizer's own splitting must cut, pieces that are
 whole tokens count as one without further work, and only the rest is split by the pattern and
-merged pair by pair. Counts of merged pieces are remembered up to a bound.
+merged pair by pair. Counts of pieces are remembered up to a bound.
 
 The vocabulary is read once by the driver and broadcast; its size does not depend on the data.
 """
@@ -13,13 +13,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import buffers, texts
+from logharbor.llm.common import Remembered, buffers, letters_of_bytes, texts
 
 #: The splitting rule of the byte-level vocabulary (fixed value of the tokenizer).
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -27,19 +28,11 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _UNEVEN = re.compile(r"\s\s|^\s|\s\Z|[\x00\x1c-\x1f\x85]|[^\S \n]")
 
 
-def _byte_of_letter() -> dict[str, int]:
-    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves,
-    the others, in order, from code point 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
-
-
 def whole_tokens(vocabulary: str) -> set[str]:
     """Strings of a vocabulary (the text of a tokenizers file) that the library encodes alone as one token."""
     from tokenizers import Tokenizer
 
-    library, byte = Tokenizer.from_str(vocabulary), _byte_of_letter()
+    library, byte = Tokenizer.from_str(vocabulary), letters_of_bytes()
     strings = set()
     for token in json.loads(vocabulary)["model"]["vocab"]:
         try:
@@ -53,10 +46,10 @@ def whole_tokens(vocabulary: str) -> set[str]:
 class TokenCounter:
     """Counts the tokens of texts as the library does, for a byte-level vocabulary."""
 
-    def __init__(self, vocabulary: str, whole: set[str], remembered: int = 400_000) -> None:
+    def __init__(self, vocabulary: str, whole: frozenset[str], remembered: int = 150_000) -> None:
         import tiktoken
 
-        spec, byte = json.loads(vocabulary), _byte_of_letter()
+        spec, byte = json.loads(vocabulary), letters_of_bytes()
         special = [t["content"] for t in spec["added_tokens"]]
         ranks = {
             bytes(byte[c] for c in token): number
@@ -66,38 +59,20 @@ class TokenCounter:
         merger = tiktoken.Encoding("counts", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self._merge = merger.encode_ordinary
         self._special = re.compile("|".join(map(re.escape, special))) if special else None
-        self._remembered = remembered
         self._whole = whole
-        self._counts = self._fresh()
-
-    def _fresh(self) -> dict[str, int]:
-        counts = dict.fromkeys(self._whole, 1)
-        counts[""] = 0
-        return counts
+        self._counts = Remembered(self._piece, remembered)
 
-    def _pieces(self, pieces: list[str]) -> int:
-        counts = self._counts
-        try:
-            return sum(map(counts.__getitem__, pieces))
-        except KeyError:
-            total = 0
-            for piece in pieces:
-                number = counts.get(piece)
-                if number is None:
-                    number = len(self._merge(piece))
-                    if len(piece) <= 64:  # What is remembered is bounded in number and in size.
-                        counts[piece] = number
-                total += number
-            if len(counts) > self._remembered + len(self._whole):
-                self._counts = self._fresh()
-            return total
+    def _piece(self, piece: str) -> int:
+        if piece in self._whole:
+            return 1
+        return len(self._merge(piece))
 
     def _ordinary(self, text: str) -> int:
         # A single blank goes with the word behind it, a single line feed stands alone: both begin a new
         # piece in every case. Where spaces meet, the pattern decides.
         if _UNEVEN.search(text):
             return len(self._merge(text))
-        return self._pieces(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
+        return sum(map(self._counts.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
 
     def count(self, text: str) -> int:
         if self._special is None or not self._special.search(text):
@@ -106,6 +81,12 @@ class TokenCounter:
         return sum(map(self._ordinary, parts)) + len(parts) - 1
 
 
+@lru_cache(maxsize=1)
+def token_counter(vocabulary: str, whole: frozenset[str]) -> TokenCounter:
+    """One for each Python worker, so that later tasks find the pieces of earlier ones."""
+    return TokenCounter(vocabulary, whole)
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
@@ -115,11 +96,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         vocabulary = file.read()
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, sorted(whole_tokens(vocabulary))))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, frozenset(whole_tokens(vocabulary))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, whole = shared.value
-        counter = TokenCounter(vocabulary, set(whole))
+        counter = token_counter(*shared.value)
         for batch in batches:
             sizes = np.diff(buffers(batch.column("text"))[1])
             numbers = np.fromiter(map(counter.count, batch.column("text").to_pylist()), np.int64, batch.num_rows)
