@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -53,13 +54,18 @@ class WordIds:
         """One piece between splits, merged by the model."""
         if not part.isascii():
             part = part.encode().decode("latin-1").translate(self._letters)
-        return np.array([token.id for token in self._library.model.tokenize(part)], "<u4").tobytes()
+        return array("I", [token.id for token in self._library.model.tokenize(part)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if not word:
             return b""
         if _PLAIN.fullmatch(word) and not ("<" in word and any(mark in word for mark in self._marks)):
-            return b"".join(map(self._parts.__getitem__, _WORDS.findall(word.lower())))
+            low = word.lower()
+            if low.isalpha():
+                return self._parts[low]
+            if low[-1] in ",.;:!?" and low[:-1].isalpha():
+                return self._parts[low[:-1]] + self._parts[low[-1]]
+            return b"".join(map(self._parts.__getitem__, _WORDS.findall(low)))
         return np.array(self._library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
