@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,72 @@ def word_starts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return inside, begins
 
 
+def stretches(at: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring texts of about ``most`` bytes together; a longer text is a run of its own."""
+    low = 0
+    while low < len(at) - 1:
+        high = max(low + 1, int(np.searchsorted(at, at[low] + most, side="right")) - 1)
+        yield low, high
+        low = high
+
+
+def mixed_bits(numbers: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers scrambled one to one."""
+    numbers = (numbers ^ (numbers >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    numbers = (numbers ^ (numbers >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return numbers ^ (numbers >> np.uint64(31))
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTES = mixed_bits(np.arange(1, 257, dtype=np.uint64) * _BASE)
+
+
+@lru_cache(maxsize=1)
+def power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``size`` powers of the base of rolling numbers, and their inverses."""
+    tables = []
+    for factor in (_BASE, _INVERSE):
+        powers = np.full(size, factor)
+        powers[:1] = 1
+        tables.append(np.multiply.accumulate(powers))
+    return tables[0], tables[1]
+
+
+def byte_numbers(data: np.ndarray) -> np.ndarray:
+    return _BYTES[data]
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each word that depends on its bytes alone: values of its bytes, weighted by place."""
+    powers, backs = power_tables(1 << max(21, len(data).bit_length()))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * powers[: len(data)], out=total[1:])
+    return mixed_bits((total[ends] - total[starts]) * backs[starts])
+
+
+def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and how many each text has."""
+    inside, begins = word_starts(data, at)
+    closes = inside.copy()
+    closes[:-1] &= ~inside[1:] | begins[1:]
+    return np.flatnonzero(begins), np.flatnonzero(closes) + 1, sums_between(begins, at)
+
+
+def smallest_reachable(names: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of a few things the smallest name reachable by pairs of their places."""
+    label = names.copy()
+    if pairs:
+        x, y = np.concatenate([p for p, _ in pairs]), np.concatenate([q for _, q in pairs])
+        while True:
+            low, before = np.minimum(label[x], label[y]), label.copy()
+            np.minimum.at(label, x, low)
+            np.minimum.at(label, y, low)
+            if (label == before).all():
+                break
+    return label
+
+
 def sums_between(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum of ``values`` in each of the stretches between neighbouring offsets."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logharbor.llm.common import kept, with_running_total
+from logharbor.llm.common import kept, smallest_reachable, with_running_total
 from logharbor.operators.density import connected_components
 
 _SLACK = 1e-9
@@ -228,21 +228,6 @@ def _meet(a: _Tree, b: _Tree, at_least: float, same: bool, chunk: int = 2_000_00
     return links_a, links_b, forest
 
 
-def _smallest_reachable(names: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each point the smallest name reachable by the pairs."""
-    label = names.copy()
-    if pairs:
-        x, y = np.concatenate([p for p, _ in pairs]), np.concatenate([q for _, q in pairs])
-        while True:
-            low = np.minimum(label[x], label[y])
-            before = label.copy()
-            np.minimum.at(label, x, low)
-            np.minimum.at(label, y, low)
-            if (label == before).all():
-                break
-    return label
-
-
 def near_vectors(rows: DataFrame, at_least: float = 0.95, block: int = 4096, pivots: int = 256, seed: int = 3) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every vector of ``rows`` (``vec_id, embedding``).
 
@@ -356,7 +341,7 @@ def _class_links(classes: DataFrame, count: int, width: int, at_least: float, bl
                 else:
                     names, links = np.concatenate((nodes_a, nodes_b)), np.concatenate((links_a, links_b))
                     pairs = [(x, y + len(nodes_a)) for x, y in forest]
-                label = _smallest_reachable(names, pairs)
+                label = smallest_reachable(names, pairs)
                 some = (links > 0) | (label != names)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names[some]), pa.array(links[some]), pa.array(label[some])], names=["node", "links", "root"]

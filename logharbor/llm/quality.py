@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import buffers, kept, sums_between, texts, word_starts
+from logharbor.llm.common import buffers, kept, stretches, texts, word_bounds, word_numbers
 
 _KINDS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -48,21 +48,6 @@ STATISTICS = (
 )
 
 
-def _word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each word that depends on its bytes alone (sums of scrambled bytes by place)."""
-    with np.errstate(over="ignore"):
-        place = np.arange(len(data), dtype=np.uint64)
-        first = np.repeat(starts, np.diff(np.append(starts, len(data)))) if len(starts) else np.empty(0, np.int64)
-        inside = place[starts[0] :] - first.astype(np.uint64) if len(starts) else place[:0]
-        value = (data[starts[0] :].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) if len(starts) else place[:0]
-        value ^= value >> np.uint64(29)
-        value *= (inside * np.uint64(2) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-        value ^= value >> np.uint64(32)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-        shift = starts[0] if len(starts) else 0
-        return total[ends - shift] - total[starts - shift]
-
-
 def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One row of ``STATISTICS`` for each text; an empty text has zeros throughout."""
     n = len(at) - 1
@@ -70,20 +55,15 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     text = np.repeat(np.arange(n), sizes)
     counts = np.bincount(text * 256 + data, minlength=n * 256).reshape(n, 256)
     share = counts / np.maximum(sizes, 1)[:, None]
-    inside, begins = word_starts(data, at)
-    starts = np.flatnonzero(begins)
-    closes = inside.copy()
-    closes[:-1] &= ~inside[1:] | begins[1:]
-    ends = np.flatnonzero(closes) + 1
+    starts, ends, words = word_bounds(data, at)
     lengths = (ends - starts).astype(float)
-    words = sums_between(begins, at)
     some = np.maximum(words, 1)
     first = np.concatenate(([0], np.cumsum(words)))
     total = lambda values: np.add.reduceat(np.append(values, 0.0), first[:-1]) * (words > 0)
     mean = total(lengths) / some
     spread = np.sqrt(np.maximum(total(lengths**2) / some - mean**2, 0))
     longest = np.maximum.reduceat(np.append(lengths, 0.0), first[:-1]) * (words > 0) if n else np.zeros(0)
-    number = _word_numbers(data, starts, ends)
+    number = word_numbers(data, starts, ends)
     owner = np.repeat(np.arange(n), words)
     same = np.zeros(len(number))
     same[1:] = (number[1:] == number[:-1]) & (owner[1:] == owner[:-1])
@@ -111,7 +91,9 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = statistics(*buffers(batch.column("text")))
+        data, at = buffers(batch.column("text"))
+        runs = [statistics(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in stretches(at)]
+        values = np.concatenate([np.zeros((0, len(STATISTICS))), *runs])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), _vectors(values)], names=["doc_id", "statistics"]
         )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm import block_naming, chat_format, cover_tree, packing, quality, source_mix, token_counts
+from logharbor.llm import block_naming, chat_format, cover_tree, ngram_join, packing, quality, source_mix, suffix_dedup, token_counts
 from logharbor.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_near_vectors")
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op9_ngram_join")
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.linked_documents(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@_query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))

@@ -14,17 +14,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import buffers, kept, sums_between, texts, unit_interval, with_running_total, word_starts
+from logharbor.llm.common import buffers, kept, stretches, sums_between, unit_interval, with_running_total, word_starts
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = buffers(batch.column("text"))
-        sizes = sums_between(word_starts(data, at)[1], at)
+        runs = [(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in stretches(at)]
+        sizes = np.concatenate([np.zeros(0, np.int64), *(sums_between(word_starts(*run)[1], run[1]) for run in runs)])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("source"), pa.array(sizes)], names=["doc_id", "source", "size"]
         )
