@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logharbor.llm import block_naming, chat_format, cover_tree, ngram_join, packing, quality, source_mix, suffix_dedup, token_counts
+from logharbor.llm import block_naming, chat_format, cover_tree, ngram_join, packing, pseudonyms, quality, source_mix, suffix_dedup, token_counts
 from logharbor.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,9 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_suffix_dedup")
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@_query("op8_pseudonyms")
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.with_pseudonyms(table(spark, sf_dir, "documents"), key="logharbor")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_found"), "found", "text")
