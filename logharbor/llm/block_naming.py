@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import LOWER, buffers, kept, one_text_each
+from logharbor.llm.common import LOWER, buffers, kept, one_row_each, one_text_each, without_ids
 
 _OWNED = "item binary, doc_id array<long>, place array<long>, parts array<long>"
 _NAMED = "doc_id long, place long, parts long, name long"
@@ -146,6 +146,6 @@ def exact_groups(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``exact_groups`` keeps."""
-    found = kept(exact_groups(docs, block_bytes).where("kept").select(F.col("doc_id").alias("kept_id")), "kept")
-    return docs.join(found, docs["doc_id"] == found["kept_id"], "left_semi")
+    """The rows of ``docs``, all columns, that ``exact_groups`` keeps; of rows that repeat an id, one."""
+    rows = one_row_each(docs)
+    return without_ids(rows, exact_groups(rows, block_bytes).where("NOT kept"))

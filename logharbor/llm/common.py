@@ -214,3 +214,54 @@ def with_running_total(df: DataFrame, order: Sequence[str], value: str, purpose:
         .withColumn("before", F.col("before") + F.col("total_"))
         .drop("range_", "rows_", "total_")
     )
+
+
+_MAP_BITS = 1 << 23
+
+
+class IdMap:
+    """Which ids may be in a table: a bit map of fixed size, never wrong about those that are.
+
+    It keeps rows out of a shuffle that have nothing to meet there; where ids outnumber its bits it only
+    keeps out fewer.
+    """
+
+    def __init__(self, ids: DataFrame) -> None:
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(_MAP_BITS))
+        bit = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {_MAP_BITS}) % 32 AS INT))")
+        words = ids.select(F.col("doc_id").cast("long").alias("doc_id")).select((place / 32).cast("int").alias("word"), bit.alias("bit"))
+        bits = np.zeros(_MAP_BITS // 32, np.int64)
+        for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most _MAP_BITS / 32 rows
+            bits[row["word"]] = row["bits"]
+        self._bits = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def split(self, docs: DataFrame, inside: bool) -> DataFrame:
+        """The rows of ``docs``, all columns, that are or are not in the map."""
+        shared, columns = self._bits, len(docs.columns)
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = np.asarray(batch.column(columns))
+                there = (shared.value[place >> 5] >> (place & 31)) & 1 == 1
+                yield batch.filter(pa.array(there if inside else ~there)).select(range(columns))
+
+        mark = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(_MAP_BITS))
+        return docs.select("*", mark.alias("__mark")).mapInArrow(choose, docs.schema)
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``doc_id`` is not in the column ``doc_id`` of ``dropped``."""
+    dropped = kept(dropped.select("doc_id").distinct(), "dropped")
+    ids = IdMap(dropped)
+    gone = dropped.withColumnRenamed("doc_id", "__gone")
+    maybe = ids.split(docs, True)
+    return ids.split(docs, False).unionAll(maybe.join(gone, maybe["doc_id"] == gone["__gone"], "left_anti"))
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with ids that are unique and not null, by the rule of ``one_text_each``."""
+    rows = docs.where("doc_id IS NOT NULL")
+    if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return rows
+    best = rows.groupBy("doc_id").agg(F.max_by(F.struct("*"), F.coalesce("text", F.lit(""))).alias("row"))
+    return best.select("row.*")

@@ -33,10 +33,12 @@ from logharbor.llm.common import (
     buffers,
     kept,
     mixed_bits,
+    one_row_each,
     one_text_each,
     smallest_reachable,
     stretches,
     with_running_total,
+    without_ids,
     word_bounds,
     word_numbers,
 )
@@ -312,6 +314,7 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, block_g
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that have the smallest id of their component."""
-    found = linked_documents(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept(found, "kept"), docs["doc_id"] == F.col("kept_id"), "left_semi")
+    """The rows of ``docs``, all columns, that have the smallest id of their component; of rows that repeat an
+    id, one."""
+    rows = one_row_each(docs)
+    return without_ids(rows, linked_documents(rows, words, percent).where("doc_id <> component_id"))

@@ -89,11 +89,14 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1) * (sizes > 0)[:, None] if n else np.zeros((0, len(STATISTICS)))
 
 
+def _measured(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    runs = [statistics(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in stretches(at)]
+    return np.concatenate([np.zeros((0, len(STATISTICS))), *runs])
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, at = buffers(batch.column("text"))
-        runs = [statistics(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in stretches(at)]
-        values = np.concatenate([np.zeros((0, len(STATISTICS))), *runs])
+        values = _measured(*buffers(batch.column("text")))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), _vectors(values)], names=["doc_id", "statistics"]
         )
@@ -253,7 +256,15 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier does not reject."""
-    found = scored(docs, labels, threshold, **options).where("predicted = 0").select(F.col("doc_id").alias("rejected"))
-    found = kept(found.distinct(), "rejected")
-    return docs.join(found, docs["doc_id"] == found["rejected"], "left_anti")
+    """The rows of ``docs``, all columns, that the classifier does not reject; no row moves for that."""
+    model = fit(kept(texts(docs).mapInArrow(_measure, "doc_id long, statistics array<double>"), "statistics"), labels, **options)
+    if model is None:
+        return docs
+    last = len(docs.columns)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = buffers(batch.column(last))
+            yield batch.filter(pa.array(model.score(_measured(data, at)) >= threshold)).select(range(last))
+
+    return docs.select("*", F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(choose, docs.schema)

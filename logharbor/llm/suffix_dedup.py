@@ -30,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import byte_numbers, buffers, kept, mixed_bits, one_text_each, power_tables
+from logharbor.llm.common import IdMap, byte_numbers, buffers, kept, mixed_bits, one_text_each, power_tables
 
 _U = np.uint64
 _PIECE = 1 << 20
 _FEW = 48
 _MANY = 4096
-_MAP_BITS = 1 << 23
 
 
 def _sliding(values: np.ndarray, width: int, combine) -> np.ndarray:
@@ -319,31 +318,6 @@ def _neighbours(length: int):
     return compare
 
 
-class _IdMap:
-    """Which ids may be in a table: a bit map of fixed size, never wrong about those that are."""
-
-    def __init__(self, rows: DataFrame) -> None:
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(_MAP_BITS))
-        words = rows.select((place / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {_MAP_BITS}) % 32 AS INT))").alias("bit"))
-        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # at most _MAP_BITS / 32 rows
-        bits = np.zeros(_MAP_BITS // 32, np.int64)
-        for row in found:
-            bits[row["word"]] = row["bits"]
-        self._bits = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def split(self, docs: DataFrame, inside: bool) -> DataFrame:
-        shared = self._bits
-
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                place = np.asarray(batch.column("mark"))
-                there = (shared.value[place >> 5] >> (place & 31)) & 1 == 1
-                yield batch.filter(pa.array(there if inside else ~there)).select(["doc_id", "text"])
-
-        marked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(_MAP_BITS)).alias("mark"))
-        return marked.mapInArrow(choose, docs.schema)
-
-
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts the covered stretches out of each text."""
     for batch in batches:
@@ -380,7 +354,7 @@ def covered_stretches(docs: DataFrame, length: int = 100) -> DataFrame:
     mixed = settled.where("bucket IS NOT NULL")
     crowded = kept(mixed.groupBy(F.col("bucket").alias("full")).count().where(f"count > {_MANY}").select("full"), "crowded")
     wanted = mixed.groupBy(F.col("doc_id").alias("wanted_id")).agg(F.collect_list(F.struct("bucket", "place", "left_", "right_")).alias("wanted"))
-    texts = _IdMap(mixed).split(docs, True)
+    texts = IdMap(mixed).split(docs, True)
     around = kept(
         texts.join(wanted, F.col("doc_id") == F.col("wanted_id")).select("doc_id", "text", "wanted").mapInArrow(
             _cut(reach, length), "bucket long, doc_id long, place long, left_ int, right_ int, around binary"
@@ -420,7 +394,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     rows = one_text_each(docs)
     covers = kept(covered_stretches(rows, length), "covers")
     gathered = covers.groupBy(F.col("doc_id").alias("covered_id")).agg(F.collect_list(F.struct("start", "stop")).alias("covers"))
-    ids = _IdMap(covers.select("doc_id"))
+    ids = IdMap(covers.select("doc_id"))
     touched = ids.split(rows, True).join(gathered, F.col("doc_id") == F.col("covered_id"), "left").select("doc_id", "text", "covers")
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     whole = ids.split(rows, False).select("doc_id", "text", none.alias("covers"))
