@@ -145,17 +145,17 @@ def with_csv_enrichment(df: DataFrame) -> DataFrame:
 
 
 def known_levels(df: DataFrame, most: int = 1000) -> list[str]:
-    """The upper-cased levels that occur."""
-    found = df.select(F.upper("level").alias("l")).where("l IS NOT NULL").distinct().limit(most + 1)
-    levels = sorted(row["l"] for row in found.collect())
-    if len(levels) > most:
-        raise ValueError(f"more than {most} different levels; check the parsing patterns")
-    return levels
+    """The ``most`` most frequent upper-cased levels, ties by name, in the order of their names.
+
+    ``most`` is the size of the vocabulary, as for words; rarer levels get no column of
+    their own."""
+    found = df.select(F.upper("level").alias("l")).where("l IS NOT NULL").groupBy("l").count()
+    return sorted(row["l"] for row in found.orderBy(F.desc("count"), "l").limit(most).collect())
 
 
 def level_one_hot(df: DataFrame, levels: list[str] | None = None) -> DataFrame:
-    """One 0/1 column per upper-cased level. The levels found are collected once (a log
-    format has a handful; more than a thousand is taken for a parsing mistake)."""
+    """One 0/1 column per upper-cased level of ``levels``, by default the known ones. A level
+    without a column is a row of zeros."""
     if levels is None:
         levels = known_levels(df)
     upper = F.upper("level")

@@ -202,11 +202,12 @@ def pattern_rates(
 def sniff_formats(
     lines: DataFrame, patterns: dict[str, str], first: int = 100, least: float = 0.5
 ) -> DataFrame:
-    """The best fitting pattern of each source, if it fits at least ``least`` of the lines."""
+    """The best fitting pattern of each source, if it fits at least ``least`` of the lines; of
+    equally good ones the first by name."""
     rates = pattern_rates(lines, patterns, first).where(F.col("match_rate") >= least)
-    order = F.struct(F.col("match_rate"), F.col("lines_matched"))
+    order = F.struct(-F.col("match_rate"), -F.col("lines_matched"), F.col("pattern"))
     return rates.groupBy("source").agg(
-        F.max_by("pattern", order).alias("pattern"), F.max("match_rate").alias("match_rate")
+        F.min_by("pattern", order).alias("pattern"), F.max("match_rate").alias("match_rate")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logharbor import constants as K
 from logharbor.functions.ordering import epoch_micros, hour_start, salted_lookup, trailing_counts
-from logharbor.functions.stats import as_scalar
+from logharbor.functions.stats import kth_smallest
 from logharbor.operators.report import rows_counted
 from logharbor.session import durable
 
@@ -25,14 +25,14 @@ def sla_metrics(
     requests: DataFrame,
     as_of: Column,
     hours: int = 24,
-    samples: int = 10_000,
     targets: dict[str, float] = K.SLA_TARGETS,
 ) -> DataFrame:
     """Availability, error rate and response times over the hours before ``as_of``.
 
     Requests and errors count by whole hours that start inside the window. Response times
-    are those of the last ``samples`` requests; percentile q is the element at position
-    floor(n·q) of the sorted times, without interpolation.
+    are those of all requests of the window; percentile q is the element at position
+    floor(n·q) of the sorted times, without interpolation, found exactly without sorting
+    all of them.
     """
     start = as_of - F.expr(f"INTERVAL {hours} HOURS")
     recent = hourly_requests(requests).where(F.col("hour") >= start)
@@ -40,31 +40,18 @@ def sla_metrics(
         F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"),
         F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"),
     )
-    last = requests.orderBy(F.desc("ts"), F.desc("request_id")).limit(samples)
-    # At most ``samples`` rows, so ranking them in one task is fine.
-    times = last.where((F.col("ts") >= start) & (F.col("ts") <= as_of))
-    ranked = times.select(
-        "response_time",
-        F.row_number().over(W.orderBy("response_time")).alias("r"),
-        rows_counted().over(W.partitionBy()).alias("n"),
-    )
-    at = lambda q: F.max(
-        F.when(F.col("r") == F.floor(F.col("n") * F.lit(q)) + 1, F.col("response_time"))
-    )
     zero = F.lit(0.0)
-    response = ranked.agg(
-        F.coalesce(at(0.5), zero).alias("response_time_p50"),
-        F.coalesce(at(0.95), zero).alias("response_time_p95"),
-        F.coalesce(at(0.99), zero).alias("response_time_p99"),
-        F.coalesce(F.avg("response_time"), zero).alias("response_time_avg"),
-    )
+    times = requests.where((F.col("ts") >= start) & (F.col("ts") <= as_of) & F.col("response_time").isNotNull())
+    counted = times.agg(F.count(F.lit(1)).alias("n"), F.avg("response_time").alias("mean")).first()
+    at = lambda q: kth_smallest(times, "response_time", int(counted["n"] * q) + 1) if counted["n"] else 0.0
+    response = {f"response_time_p{round(q * 100)}": at(q) for q in (0.5, 0.95, 0.99)}
+    response["response_time_avg"] = counted["mean"] or 0.0
     total = F.col("requests")
     rates = totals.select(
         F.when(total > 0, (total - F.col("errors")) * 100.0 / total).otherwise(F.lit(100.0)).alias("availability"),
         F.when(total > 0, F.col("errors") * 100.0 / total).otherwise(zero).alias("error_rate"),
     )
-    answer = as_scalar(response)
-    return rates.select("*", *[answer.getField(c).alias(c) for c in response.columns]).select(
+    return rates.select("*", *[F.lit(float(v)).alias(c) for c, v in response.items()]).select(
         "*",
         (F.col("availability") >= targets["availability"]).alias("availability_ok"),
         (F.col("response_time_p95") <= targets["response_time_p95"]).alias("response_time_ok"),

@@ -10,14 +10,14 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, IDF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logharbor import constants as K
 from logharbor.functions import text as X
 from logharbor.functions.stats import kth_smallest
 from logharbor.operators.features import with_error_keywords
 from logharbor.operators.tfidf import tokens
-from logharbor.session import durable
+from logharbor.session import durable, shared_dir
 
 
 def heuristic_labels(
@@ -63,6 +63,14 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("weight", weight)
 
 
+def _stored(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The model written to shared storage and read back: without its training state (summary,
+    estimator), so that only the trees travel with the scoring plan, and kept for a restart."""
+    path = shared_dir(spark, "model")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 class RandomForestDetector:
     """Random forest trained on heuristic labels; the score is the anomaly probability."""
 
@@ -102,7 +110,7 @@ class RandomForestDetector:
                 numTrees=self.n_estimators, maxDepth=self.max_depth, seed=self.seed,
             ),
         ]
-        self.model = Pipeline(stages=stages).fit(rows)
+        self.model = _stored(Pipeline(stages=stages).fit(rows), df.sparkSession)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -208,4 +216,4 @@ def refit_with_feedback(
             featuresCol="_features", labelCol="label", weightCol="weight", numTrees=trees, seed=seed
         ),
     ]
-    return Pipeline(stages=stages).fit(balanced_weights(rows))
+    return _stored(Pipeline(stages=stages).fit(balanced_weights(rows)), df.sparkSession)

@@ -6,6 +6,7 @@ from logharbor.plans import (  # noqa: F401
     parsing_queries,
     report_queries,
     service_queries,
+    storage_queries,
     streaming_queries,
 )
 from logharbor.plans.registry import ORACLES, QUERIES  # noqa: F401

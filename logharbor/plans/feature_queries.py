@@ -251,7 +251,7 @@ SELECT source, line_number, {columns} FROM f, s""")
 @query("standard_scale", _scaled_sql("(# - #_m) / (CASE WHEN #_s = 0 THEN 1 ELSE #_s END)"))
 def standard_scale(spark, sf_dir):
     rows = E.with_basic_features(views.app_logs(spark, sf_dir))
-    stats = fitted(profile(rows, _NUMERIC))
+    stats = fitted(profile(rows, _NUMERIC, quartiles=False))
     scaled = [standard_scaled(F.col(c), stats[f"{c}_mean"], stats[f"{c}_std"]).alias(c) for c in _NUMERIC]
     return rounded(rows.select(*KEY, *scaled), *_NUMERIC)
 

@@ -118,7 +118,7 @@ def sla_hourly(spark, sf_dir):
     views.with_views(
         "requests",
         """, a AS (SELECT max(ts) AS t FROM requests), h AS (SELECT count(*) AS n, count(*) FILTER (NOT success) AS e FROM requests, a WHERE date_trunc('hour', ts) >= t - INTERVAL 24 HOUR),
-l AS (SELECT * FROM requests ORDER BY ts DESC, request_id DESC LIMIT 10000), r AS (SELECT list_sort(list(response_time)) AS v, avg(response_time) AS m FROM l, a WHERE ts BETWEEN t - INTERVAL 24 HOUR AND t),
+r AS (SELECT list_sort(list(response_time)) AS v, avg(response_time) AS m FROM requests, a WHERE ts BETWEEN t - INTERVAL 24 HOUR AND t),
 x AS (SELECT 100.0 * (n - e) / n AS availability, 100.0 * e / n AS error_rate, v[CAST(floor(len(v) * 0.5) AS BIGINT) + 1] AS p50, v[CAST(floor(len(v) * 0.95) AS BIGINT) + 1] AS p95,
   v[CAST(floor(len(v) * 0.99) AS BIGINT) + 1] AS p99, m FROM h, r)
 SELECT round(availability, 6) AS availability, round(error_rate, 6) AS error_rate, p50 AS response_time_p50, p95 AS response_time_p95, p99 AS response_time_p99, round(m, 6) AS response_time_avg,

@@ -41,16 +41,29 @@ def _checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{_checkpoint_root(spark).rstrip('/')}/logharbor/{spark.sparkContext.applicationId}"
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder, for tables and streaming state."""
-    return f"{_checkpoint_root(spark).rstrip('/')}/logharbor/{purpose}-{uuid.uuid4().hex}"
+    return f"{_application_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to shared storage and go on from there.
+    """Write ``df`` to shared storage as Parquet and go on from the written rows.
 
     Used where a plan reads the same rows twice and must see the same values both
-    times (range partitions, iterations); survives the loss of executors.
+    times (range partitions, iterations); survives the loss of executors. Later steps
+    read only the columns they need. The order of rows is not kept.
     """
-    _checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_dir(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Remove what this application wrote to the shared folder; call it when all results are consumed."""
+    jvm, path = spark.sparkContext._jvm, _application_dir(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -9,6 +9,7 @@ from logharbor.config import AlertConfig
 from logharbor.operators import report as R
 from logharbor.operators.alerts import alert_summary, alerts, notification
 from logharbor.operators.features import with_csv_enrichment
+from logharbor.session import durable
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -27,12 +28,14 @@ def write_json_lines(df: DataFrame, path: str, include_index: bool = False) -> N
 
 def write_enriched_csv(df: DataFrame, path: str) -> None:
     """Rows with analysis columns in ``path/rows``, totals in ``path/metadata``."""
+    df = durable(df)  # Several tables follow from the rows; the detector runs once.
     with_csv_enrichment(df).write.mode("overwrite").option("header", True).csv(f"{path}/rows")
     R.processing_statistics(df).write.mode("overwrite").option("header", True).csv(f"{path}/metadata")
 
 
 def write_xml(df: DataFrame, path: str) -> None:
     """One element per row with its anomaly information, and an element with the totals."""
+    df = durable(df)  # Several tables follow from the rows; the detector runs once.
     info = [F.col("is_anomaly"), F.round("anomaly_score", 4).alias("score")]
     if "cluster_id" in df.columns:
         info.append(F.col("cluster_id"))
@@ -56,6 +59,7 @@ def write_alerts(df: DataFrame, path: str, config: AlertConfig = AlertConfig())
 
 
 def write_time_series(df: DataFrame, path: str) -> None:
+    df = durable(df)  # Several tables follow from the rows; the detector runs once.
     sections = {
         "findings": R.time_findings(df),
         "hours": R.hour_pattern(df),
@@ -69,6 +73,7 @@ def write_time_series(df: DataFrame, path: str) -> None:
 
 
 def write_compliance(df: DataFrame, path: str, standard: str = "ISO 27001", auditor: str = "logharbor") -> None:
+    df = durable(df)  # Several tables follow from the rows; the detector runs once.
     summary = R.compliance_counts(df).select(
         F.lit(standard).alias("standard"), F.lit(auditor).alias("auditor"), "*",
         F.array(*[F.lit(a) for a in K.COMPLIANCE_ADVICE]).alias("recommendation"),
@@ -90,6 +95,7 @@ def dashboard(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_dashboard(df: DataFrame, path: str) -> None:
+    df = durable(df)  # Several tables follow from the rows; the detector runs once.
     for name, section in dashboard(df).items():
         write_json(section, f"{path}/{name}")
 

@@ -55,15 +55,15 @@ def admission_audit(
     spark: SparkSession,
     paths: str | Sequence[str],
     extensions: Sequence[str] = K.ALLOWED_EXTENSIONS,
-    max_bytes: int = K.MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """One row per file: extension, size, verdict and reason. Only file names and sizes
-    are listed; the files are not read."""
+    are listed; the files are not read. A limit of size holds only where one is given."""
     listed = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths))
     suffix = F.lower(F.regexp_extract("source", r"\.([^./]+)$", 1))
     files = listed.select(F.col("path").alias("source"), F.col("length").alias("bytes")).withColumn("extension", suffix)
     reason = F.when(~F.col("extension").isin(*extensions), "extension not allowed").when(
-        F.col("bytes") > max_bytes, "file too large"
+        F.lit(max_bytes is not None) & (F.col("bytes") > F.lit(max_bytes or 0)), "file too large"
     )
     return files.withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull())
 
@@ -72,10 +72,13 @@ def read_admitted(
     spark: SparkSession,
     paths: str | Sequence[str],
     extensions: Sequence[str] = K.ALLOWED_EXTENSIONS,
-    max_bytes: int = K.MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Lines of the files that pass the audit; the conditions prune files before reading."""
+    """Lines of the files that pass the audit; the conditions prune files before reading.
+    Files of any size are read unless a limit is given."""
     names = "*.{" + ",".join(extensions) + "}"
     path, block = F.col(_PATH), F.col(_BLOCK)
-    rows = _lines(spark, paths, names).where(F.col("_metadata.file_size") <= max_bytes)
+    rows = _lines(spark, paths, names)
+    if max_bytes is not None:
+        rows = rows.where(F.col("_metadata.file_size") <= max_bytes)
     return rows.select(path.alias("source"), F.make_valid_utf8("value").alias("line"))

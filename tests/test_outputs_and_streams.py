@@ -196,3 +196,31 @@ def test_rate_limit_remembers_earlier_batches(spark, tmp_path):
             decide(batch, number)
     got = sorted((r["request_id"], r["allowed"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == expected
+
+
+def test_service_levels_use_all_requests(spark):
+    """A day with far more requests than any window of samples: all of them count."""
+    from logharbor.operators.service import sla_metrics
+
+    rows = spark.range(30_000).selectExpr(
+        "id AS request_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts",
+        "CAST(id AS DOUBLE) AS response_time", "true AS success",
+    )
+    found = sla_metrics(rows, F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")).first()
+    assert (found["response_time_p50"], found["response_time_p95"], found["response_time_p99"]) == (15_000, 28_500, 29_700)
+
+
+def test_thousands_of_levels(spark):
+    from logharbor.operators.features import known_levels, level_one_hot
+
+    rows = spark.range(4_000).selectExpr("id AS line_number", "concat('L', id % 2000) AS level")
+    assert len(known_levels(rows)) == 1000
+    assert len(level_one_hot(rows).columns) == 1002
+
+
+def test_format_ties_go_to_the_first_name(spark):
+    from logharbor.operators.parsing import sniff_formats
+
+    lines = spark.createDataFrame([("s", i, "x y") for i in range(5)], "source string, line_number bigint, line string")
+    for names in (("b", "a"), ("a", "b")):
+        assert sniff_formats(lines, {n: r"(?P<x>\w) (?P<y>\w)" for n in names}).first()["pattern"] == "a"
