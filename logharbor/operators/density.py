@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logharbor.functions.ordering import salted_lookup
 from logharbor.session import durable
 
-_MAX_FEATURES = 4
+#: Coordinates whose near positions are listed; cells that agree there are compared on the others.
+_LISTED = 4
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -61,17 +62,24 @@ def _roots(parents: DataFrame) -> DataFrame:
         pointers = durable(stepped.select("node", F.coalesce("further", "up").alias("up")))
 
 
-def _with_near_cells(cells: DataFrame, d: int) -> DataFrame:
-    """Adds ``near_cell``: the positions that can hold points within one cell diagonal."""
+def _with_near_positions(cells: DataFrame, d: int) -> DataFrame:
+    """Adds ``position``: where, in the listed coordinates, points within one cell diagonal can lie."""
+    listed = min(d, _LISTED)
     reach = math.ceil(math.sqrt(d))
     rows, gap = cells, F.lit(0)
-    for i in range(d):
+    for i in range(listed):
         steps = F.sequence(F.lit(-reach).cast("bigint"), F.lit(reach).cast("bigint"))
         rows = rows.select("*", F.explode(steps).alias(f"_o{i}"))
         apart = F.greatest(F.abs(F.col(f"_o{i}")) - 1, F.lit(0))
         gap = gap + apart * apart
-    near = F.array(*[F.col("cell")[i] + F.col(f"_o{i}") for i in range(d)])
-    return rows.where(gap <= d).select(*cells.columns, near.alias("near_cell"))
+    near = F.array(*[F.col("cell")[i] + F.col(f"_o{i}") for i in range(listed)])
+    return rows.where(gap <= d).select(*cells.columns, near.alias("position"))
+
+
+def _gap(d: int) -> Column:
+    """Squared distance between the boxes of ``cell`` and ``near_cell``, in cell sides."""
+    apart = [F.greatest(F.abs(F.col("cell")[i] - F.col("near_cell")[i]) - 1, F.lit(0)) for i in range(d)]
+    return sum((a * a for a in apart[1:]), apart[0] * apart[0])
 
 
 def _squared(a: str, b: str, d: int) -> Column:
@@ -94,12 +102,10 @@ def dbscan_points(points: DataFrame, d: int, eps: float, min_samples: int) -> Da
         points.withColumn("cell", F.transform("x", lambda v: F.floor(v / side).cast("bigint")))
     )
     cells = gridded.groupBy("cell").agg(F.sum("w").alias("weight"), F.min("gid").alias("node"))
-    around = _with_near_cells(cells, d)
-    near = durable(
-        around.join(
-            cells.select(F.col("cell").alias("near_cell"), F.col("node").alias("near_node")), "near_cell"
-        )
-    )
+    around = _with_near_positions(cells, d)
+    position = F.slice("cell", 1, min(d, _LISTED))
+    others = cells.select(position.alias("position"), F.col("cell").alias("near_cell"), F.col("node").alias("near_node"))
+    near = durable(around.join(others, "position").drop("position").where(_gap(d) <= d))
     sparse_near = near.where(F.col("weight") < min_samples).select("cell", "near_cell")
     # A sparse cell holds fewer than ``min_samples`` rows, so each point of the
     # surroundings meets a bounded number of partners.
@@ -173,8 +179,8 @@ def detect_density(
     id_column: str = "line_number",
 ) -> DataFrame:
     """Adds ``is_core``, ``cluster_id``, ``anomaly_score`` (-1 or 0) and ``is_anomaly``."""
-    if not 1 <= len(features) <= _MAX_FEATURES:
-        raise ValueError(f"the grid works for one to {_MAX_FEATURES} features")
+    if not features:
+        raise ValueError("name at least one feature")
     points = durable(
         df.groupBy(*features).agg(F.min(id_column).alias("gid"), F.count(F.lit(1)).alias("w"))
     )

@@ -180,10 +180,10 @@ def detect_lof(spark, sf_dir):
 _GRID = ["message_length", "severity_score", "hour", "day_of_week"]
 
 
-def _scaled_logs(spark, sf_dir):
-    rows = E.with_basic_features(views.app_logs(spark, sf_dir)).select(*KEY, *_GRID)
-    stats = fitted(profile(rows, _GRID, quartiles=False))
-    scaled = [standard_scaled(F.col(c), stats[f"{c}_mean"], stats[f"{c}_std"]).alias(c) for c in _GRID]
+def _scaled_logs(spark, sf_dir, columns=_GRID):
+    rows = E.with_basic_features(views.app_logs(spark, sf_dir)).select(*KEY, *columns)
+    stats = fitted(profile(rows, columns, quartiles=False))
+    scaled = [standard_scaled(F.col(c), stats[f"{c}_mean"], stats[f"{c}_std"]).alias(c) for c in columns]
     return rows.select(*KEY, *scaled)
 
 
@@ -204,6 +204,26 @@ def detect_dbscan(spark, sf_dir):
     return rows.select("line_number", "is_core", "is_anomaly", "anomaly_score")
 
 
+_FIVE = [*_GRID, "word_count"]
+
+
+@query(
+    "detect_dbscan_five",
+    sql(f""", f AS (SELECT line_number, length(message) AS a, {SEVERITY_CORE} AS b, hour(timestamp) AS c, {DOW} AS d, len(string_split(message, ' ')) AS e FROM app_logs),
+s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc, avg(d) AS md, stddev_pop(d) AS sd, avg(e) AS me, stddev_pop(e) AS se FROM f),
+p AS (SELECT line_number, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c, (d - md) / sd AS d, (e - me) / se AS e FROM f, s),
+u AS (SELECT a, b, c, d, e, count(*) AS w FROM p GROUP BY ALL),
+k AS (SELECT x.a, x.b, x.c, x.d, x.e, sum(y.w) >= 5 AS core FROM u x JOIN u y ON x.b = y.b AND (x.a-y.a)*(x.a-y.a) + (x.c-y.c)*(x.c-y.c) + (x.d-y.d)*(x.d-y.d) + (x.e-y.e)*(x.e-y.e) <= 0.25 GROUP BY ALL),
+z AS (SELECT x.a, x.b, x.c, x.d, x.e, bool_or(y.core) AS reached FROM k x JOIN k y ON x.b = y.b AND (x.a-y.a)*(x.a-y.a) + (x.c-y.c)*(x.c-y.c) + (x.d-y.d)*(x.d-y.d) + (x.e-y.e)*(x.e-y.e) <= 0.25 GROUP BY ALL)
+SELECT line_number, core AS is_core, CAST(NOT reached AS INT) AS is_anomaly, CASE WHEN reached THEN 0.0::DOUBLE ELSE -1.0::DOUBLE END AS anomaly_score
+FROM p JOIN k USING (a, b, c, d, e) JOIN z USING (a, b, c, d, e)"""),
+)
+def detect_dbscan_five(spark, sf_dir):
+    """One more feature than the coordinates whose near cells are listed."""
+    rows = detect_density(_scaled_logs(spark, sf_dir, _FIVE), _FIVE, eps=0.5, min_samples=5)
+    return rows.select("line_number", "is_core", "is_anomaly", "anomaly_score")
+
+
 @query("dbscan_clusters")
 def dbscan_clusters(spark, sf_dir):
     """Size of every cluster; checked against brute force in the tests."""
@@ -254,13 +274,13 @@ def isolation_forest(spark, sf_dir):
 @query("detect_random_forest")
 def random_forest(spark, sf_dir):
     logs = views.app_logs(spark, sf_dir)
-    detector = RandomForestDetector(n_estimators=20, max_depth=5).fit(logs)
+    detector = RandomForestDetector().fit(logs)
     return rounded(detector.transform(logs).select(*FLAGS), "anomaly_score")
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    detector = RandomForestDetector(n_estimators=20, max_depth=5).fit(views.app_logs(spark, sf_dir))
+    detector = RandomForestDetector().fit(views.app_logs(spark, sf_dir))
     return detector.importance_table(spark)
 
 
@@ -316,7 +336,7 @@ def feedback_refit(spark, sf_dir):
     feedback = rows.join(guesses, KEY).select(
         *KEY, "prediction", (F.col("prediction") == F.col("is_anomaly")).alias("correct")
     )
-    model = refit_with_feedback(rows, feedback, _FOREST, KEY, trees=10)
+    model = refit_with_feedback(rows, feedback, _FOREST, KEY)
     scored = model.transform(rows).select(
         *KEY, F.col("prediction").cast("int").alias("is_anomaly"),
         vector_to_array("probability")[1].alias("anomaly_score"),
