@@ -28,19 +28,23 @@ def read_log_lines(
     their block and moved by the lines of the blocks before, which are counted in a
     separate light scan. No task handles more than a block.
     """
-    path, block = F.col(_PATH), F.col(_BLOCK)
-    raw = _lines(spark, paths, name_filter)
-    counts = raw.groupBy(path.alias("source"), block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        "source", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    raw = _lines(spark, paths, name_filter).select(
+        F.col(_PATH).alias("source"), F.col(_BLOCK).alias("block_start"), F.make_valid_utf8("value").alias("line")
     )
-    in_block = W.partitionBy("source", "_block").orderBy("_order")
-    numbered = raw.select(
-        path.alias("source"), block.alias("_block"), F.monotonically_increasing_id().alias("_order"),
-        F.make_valid_utf8("value").alias("line"),
-    ).withColumn("_row", F.row_number().over(in_block))
-    return numbered.join(offsets, ["source", "_block"]).select(
+    return number_lines(raw)
+
+
+def number_lines(raw: DataFrame) -> DataFrame:
+    """Numbers the rows ``source, block_start, line`` of whole files, in the order in which they are read.
+
+    Also for a micro-batch of followed files, which arrive whole.
+    """
+    counts = raw.groupBy("source", "block_start").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("source").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("source", "block_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    in_block = W.partitionBy("source", "block_start").orderBy("_order")
+    numbered = raw.withColumn("_order", F.monotonically_increasing_id()).withColumn("_row", F.row_number().over(in_block))
+    return numbered.join(offsets, ["source", "block_start"]).select(
         "source", (F.col("_row") + F.col("_offset")).cast("bigint").alias("line_number"), "line"
     )
 
@@ -77,7 +81,7 @@ def read_admitted(
     """Lines of the files that pass the audit; the conditions prune files before reading.
     Files of any size are read unless a limit is given."""
     names = "*.{" + ",".join(extensions) + "}"
-    path, block = F.col(_PATH), F.col(_BLOCK)
+    path = F.col(_PATH)
     rows = _lines(spark, paths, names)
     if max_bytes is not None:
         rows = rows.where(F.col("_metadata.file_size") <= max_bytes)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +16,7 @@ from logharbor.operators.parsing import LogParser
 from logharbor.operators.report import flagged, rows_counted
 from logharbor.operators.service import rate_limit
 from logharbor.session import durable
+from logharbor.sources.text import number_lines
 
 Deliver = Callable[[DataFrame, int], None]
 
@@ -24,14 +24,32 @@ Deliver = Callable[[DataFrame, int], None]
 def follow_directory(
     spark: SparkSession, path: str, name_filter: str = "*", files_per_trigger: int = 100
 ) -> DataFrame:
-    """New files below ``path`` as rows (source, line). Rotated files arrive whole; how
-    many are taken at once is bounded, what waits stays on storage and none is dropped."""
+    """New files below ``path`` as rows (source, block_start, line). Rotated files arrive whole;
+    how many are taken at once is bounded, what waits stays on storage and none is dropped."""
     lines = (
         spark.readStream.option("pathGlobFilter", name_filter)
         .option("maxFilesPerTrigger", files_per_trigger)
         .text(path)
     )
-    return lines.select(F.col("_metadata.file_path").alias("source"), F.make_valid_utf8("value").alias("line"))
+    return lines.select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.make_valid_utf8("value").alias("line"),
+    )
+
+
+def numbered_batches(
+    write_batch: Callable[[DataFrame, int], None], parser: LogParser | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Batch function for followed files: numbers the lines of each file, parses them and hands the
+    log rows on, so that detectors that work by line see what they see in a batch job."""
+    chosen = parser or LogParser()
+
+    def write(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            write_batch(chosen.parse(number_lines(batch)), number)
+
+    return write
 
 
 def parsed_stream(lines: DataFrame, parser: LogParser | None = None) -> DataFrame:
@@ -82,42 +100,53 @@ def scoring_batches(
 class LatestRowsModel:
     """Scores each batch with the model so far, then refits on the latest ``keep`` rows.
 
-    The latest rows live in a small table on shared storage. Before the first refit
-    every row is normal.
+    The latest rows after each batch live in a small table of that batch on shared storage; the
+    model is what ``fit`` makes of the table of the batch before. So a restart goes on with the
+    same model, and a batch that runs again learns nothing twice. Before ``keep`` rows have been
+    seen every row is normal.
     """
 
     def __init__(
         self, fit: Callable[[DataFrame], object], folder: str, keep: int = 100, order: tuple[str, ...] = ("timestamp", "line_number"),
     ) -> None:
-        self.fit, self.folder, self.keep, self.order = fit, folder, keep, order
-        self.model = None
-        self.last: str | None = None
-
-    def __call__(self, batch: DataFrame) -> DataFrame:
-        if self.model is None:
-            return batch.withColumn("anomaly_score", F.lit(0.0)).withColumn("is_anomaly", F.lit(0))
-        return self.model.transform(batch)
-
-    def learn(self, batch: DataFrame) -> None:
-        spark = batch.sparkSession
-        seen = batch if self.last is None else batch.unionByName(spark.read.parquet(self.last))
+        self.fit, self.folder, self.keep, self.order = fit, folder.rstrip("/"), keep, order
+        self._known: tuple[int, object] | None = None
+
+    def _stored(self, spark: SparkSession, before: int) -> int | None:
+        """The last batch before the given one whose rows are stored."""
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        done = [int(n.removeprefix("after-")) for n in names if n.startswith("after-") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
+        return max((n for n in done if n < before), default=None)
+
+    def model_before(self, spark: SparkSession, number: int) -> tuple[DataFrame | None, object]:
+        """The latest rows and the model a batch starts from."""
+        last = self._stored(spark, number)
+        if last is None:
+            return None, None
+        rows = spark.read.parquet(f"{self.folder}/after-{last}")
+        if self._known is None or self._known[0] != last:
+            self._known = (last, self.fit(rows) if rows.count() >= self.keep else None)
+        return rows, self._known[1]
+
+    def score_and_learn(self, batch: DataFrame, number: int, output: str) -> None:
+        rows, model = self.model_before(batch.sparkSession, number)
+        if model is None:
+            scored = batch.withColumn("anomaly_score", F.lit(0.0)).withColumn("is_anomaly", F.lit(0))
+        else:
+            scored = model.transform(batch)
+        scored.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        seen = batch if rows is None else batch.unionByName(rows)
         # A top-k of ``keep`` rows, not a sort of the batch.
         newest = seen.orderBy(*[F.desc(c) for c in self.order]).limit(self.keep)
-        target = f"{self.folder}/latest-{uuid.uuid4().hex}"
-        newest.write.mode("overwrite").parquet(target)
-        self.last = target
-        rows = spark.read.parquet(target)
-        if rows.count() >= self.keep:
-            self.model = self.fit(rows)
+        newest.write.mode("overwrite").parquet(f"{self.folder}/after-{number}")
 
     def batches(self, output: str) -> Callable[[DataFrame, int], None]:
-        score = scoring_batches(self, output)
-
         def write(batch: DataFrame, number: int) -> None:
-            if batch.isEmpty():
-                return
-            score(batch, number)
-            self.learn(batch)
+            if not batch.isEmpty():
+                self.score_and_learn(batch, number, output)
 
         return write
 

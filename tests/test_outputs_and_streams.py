@@ -224,3 +224,29 @@ def test_format_ties_go_to_the_first_name(spark):
     lines = spark.createDataFrame([("s", i, "x y") for i in range(5)], "source string, line_number bigint, line string")
     for names in (("b", "a"), ("a", "b")):
         assert sniff_formats(lines, {n: r"(?P<x>\w) (?P<y>\w)" for n in names}).first()["pattern"] == "a"
+
+
+def test_followed_files_can_feed_detectors_by_line(spark, tmp_path):
+    """Lines of followed files are numbered, so a forest can be fitted and learns over batches and restarts."""
+    from logharbor.operators.features import with_basic_features
+    from logharbor.operators.isolation_forest import IsolationForest
+
+    folder, progress, out, latest = (str(tmp_path / n) for n in ("logs", "progress", "out", "latest"))
+    (tmp_path / "logs").mkdir()
+    learn = lambda: M.LatestRowsModel(
+        lambda rows: IsolationForest(["message_length", "hour"], n_estimators=5).fit(rows), latest, keep=20
+    )
+    for i in range(3):
+        lines = [f"2024-01-01 12:0{i}:{j:02d} INFO file {i} line {'x' * j}" for j in range(30)]
+        (tmp_path / "logs" / f"{i}.log").write_text("\n".join(lines) + "\n")
+        learner = learn()  # a restart before each file
+
+        def write(rows, number, learner=learner):
+            learner.score_and_learn(with_basic_features(rows), number, out)
+
+        M.start(M.follow_directory(spark, folder, "*.log"), M.numbered_batches(write), progress).awaitTermination()
+    rows = spark.read.parquet(out)
+    numbers = rows.groupBy("batch", "source").agg(F.collect_set("line_number").alias("n"), F.max(F.abs("anomaly_score")).alias("top")).orderBy("batch").collect()
+    assert [sorted(r["n"]) for r in numbers] == [list(range(1, 31))] * 3
+    assert numbers[0]["top"] == 0 and numbers[1]["top"] > 0 and numbers[2]["top"] > 0
+    assert learn().model_before(spark, 1)[0].count() == 20
