@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logharbor import constants as K
@@ -142,21 +145,26 @@ def throttled(windows: DataFrame, config: AlertConfig = AlertConfig()) -> DataFr
     """Candidates that are sent: the first one of a source, then each one that comes at
     least ``throttle_minutes`` after the last sent one.
 
-    The fold walks the candidate times of a source; there is at most one per time window,
-    so their number depends on the age of the log and not on its volume.
+    Each source's candidates stream by in order of time, with one number kept; there is at most
+    one per time window, so their number depends on the age of the log and not on its volume.
     """
     pause = config.throttle_minutes * 60 * 1_000_000
-    times = windows.groupBy("source").agg(
-        F.sort_array(F.collect_list(epoch_micros(F.col("window_start")))).alias("times")
-    )
-    sent = F.aggregate(
-        "times",
-        F.array().cast("array<bigint>"),
-        lambda kept, t: F.when(
-            (F.size(kept) == 0) | (t >= F.element_at(kept, -1) + F.lit(pause)),
-            F.concat(kept, F.array(t)),
-        ).otherwise(kept),
+    schema = windows.schema
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, last = None, None
+        for batch in batches:
+            sent = []
+            for source, us in zip(batch["source"], batch["_us"]):
+                if source != current:
+                    current, last = source, None
+                sent.append(last is None or us >= last + pause)
+                last = us if sent[-1] else last
+            yield batch.loc[sent, schema.names]
+
+    return (
+        windows.withColumn("_us", epoch_micros(F.col("window_start")))
+        .repartition("source")
+        .sortWithinPartitions("source", "_us")
+        .mapInPandas(fold, schema)
     )
-    chosen = times.select("source", F.explode(sent).alias("_us"))
-    marked = windows.withColumn("_us", epoch_micros(F.col("window_start")))
-    return marked.join(chosen, ["source", "_us"]).drop("_us")
