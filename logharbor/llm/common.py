@@ -253,7 +253,7 @@ def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose ``doc_id`` is not in the column ``doc_id`` of ``dropped``."""
     dropped = kept(dropped.select("doc_id").distinct(), "dropped")
     ids = IdMap(dropped)
-    gone = dropped.withColumnRenamed("doc_id", "__gone")
+    gone = dropped.withColumnRenamed("doc_id", "__gone").hint("merge")
     maybe = ids.split(docs, True)
     return ids.split(docs, False).unionAll(maybe.join(gone, maybe["doc_id"] == gone["__gone"], "left_anti"))
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from logharbor.llm.common import (
     LOWER,
+    IdMap,
     buffers,
     kept,
     mixed_bits,
@@ -278,8 +279,10 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, block_g
         placed.select(F.col("block").alias("tile_a"), F.col("block").alias("tile_b")).distinct().unionAll(across), "tiles"
     )
     either = tiles.select("tile_a", "tile_b", F.explode(F.array_distinct(F.array("tile_a", "tile_b"))).alias("block"))
-    needed = placed.join(either, "block").select("first", "weight", "group", "block", "tile_a", "tile_b")
-    texts_of = rows.join(kept(needed, "needed"), F.col("doc_id") == F.col("first")).drop("first")
+    needed = kept(placed.join(either, "block").select("first", "weight", "group", "block", "tile_a", "tile_b"), "needed")
+    # Only texts that have something to be multiplied with move, by the same plan at every size.
+    some = IdMap(needed.select(F.col("first").alias("doc_id"))).split(rows, True)
+    texts_of = some.join(needed.hint("merge"), F.col("doc_id") == F.col("first")).drop("first")
     found = kept(
         texts_of.repartition("tile_a", "tile_b")
         .sortWithinPartitions("tile_a", "tile_b", "doc_id")
