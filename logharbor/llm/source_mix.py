@@ -118,7 +118,8 @@ def mix(
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 17) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it; ids must not repeat."""
-    found = mix(docs, weights, most, seed).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-    rows = docs.join(kept(found, "mix"), docs["doc_id"] == F.col("taken_id"))
-    columns = [docs[c] for c in docs.columns]
-    return rows.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_")).select(*docs.columns)
+    found = mix(docs, weights, most, seed).where("copies > 0")
+    found = kept(found.select(F.col("doc_id").alias("__taken"), F.col("copies").alias("__copies")), "mix")
+    rows = docs.join(found.hint("merge"), docs["doc_id"] == found["__taken"])
+    times = F.explode(F.sequence(F.lit(1), found["__copies"])).alias("__copy")
+    return rows.select(*(docs[c] for c in docs.columns), times).drop("__copy")
