@@ -163,3 +163,29 @@ METRIC_THRESHOLDS = {"memory": (80.0, 90.0), "cpu": (85.0, 95.0), "disk": (85.0,
 THROUGHPUT_RATINGS = (
     (100_000, "excellent"), (50_000, "very_good"), (10_000, "good"), (1_000, "fair"),
 )
+
+# Names of growth classes, by how time rises with size.
+GROWTH_CLASSES = {
+    "linear": "O(n) - Linear",
+    "linearithmic": "O(n log n) - Linearithmic",
+    "quadratic": "O(n²) - Quadratic",
+    "more": "O(n³+) - Polynomial or worse",
+}
+
+# Titles of alerts and warnings of the notification.
+TITLE_ERROR = "Error Detected in {level} Log"
+TITLE_EXCEPTION = "Exception Detected"
+TITLE_FAILURE = "Failure Detected"
+TITLE_OTHER = "Anomalous {level} Log Detected"
+WARNING_HIGH = "HIGH ANOMALY RATE DETECTED - Immediate investigation recommended"
+WARNING_ELEVATED = "ELEVATED ANOMALY RATE - Monitor closely"
+
+# Sentences of the time findings and of the compliance findings.
+TIME_PEAK_HOUR = "Peak activity occurs at {}:00 hours"
+TIME_PEAK_DAY = "Highest log volume on {}"
+TIME_TREND = "Overall trend: {}"
+TIME_HOURLY = "Strong hourly seasonality detected"
+TIME_WEEKLY = "Weekly pattern identified"
+TIME_ADVICE_HOUR = "Monitor system closely around {}:00 hours"
+FINDING_RATE = "High anomaly rate detected: %.2f%%"
+FINDING_ERROR_RATE = "High error rate detected: %d errors in %d logs"

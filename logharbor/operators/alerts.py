@@ -24,13 +24,18 @@ def alert_severity(level: Column, score: Column) -> Column:
     )
 
 
+def _with_level(title: str, level: Column) -> Column:
+    head, tail = title.split("{level}")
+    return F.concat(F.lit(head), level, F.lit(tail))
+
+
 def alert_title(severity: Column, level: Column, message: Column) -> Column:
     lowered = F.lower(message)
     text = (
-        F.when(lowered.contains("error"), F.concat(F.lit("Error Detected in "), level, F.lit(" Log")))
-        .when(lowered.contains("exception"), F.lit("Exception Detected"))
-        .when(lowered.contains("fail"), F.lit("Failure Detected"))
-        .otherwise(F.concat(F.lit("Anomalous "), level, F.lit(" Log Detected")))
+        F.when(lowered.contains("error"), _with_level(K.TITLE_ERROR, level))
+        .when(lowered.contains("exception"), F.lit(K.TITLE_EXCEPTION))
+        .when(lowered.contains("fail"), F.lit(K.TITLE_FAILURE))
+        .otherwise(_with_level(K.TITLE_OTHER, level))
     )
     return F.concat(severity, F.lit(": "), text)
 
@@ -95,9 +100,7 @@ def notification(df: DataFrame, generated_at: Column) -> DataFrame:
         percent(F.count_if(flagged()), rows_counted()).alias("anomaly_rate"),
     )
     rate = F.col("anomaly_rate")
-    warning = F.when(rate > 10, "HIGH ANOMALY RATE DETECTED - Immediate investigation recommended").when(
-        rate > 5, "ELEVATED ANOMALY RATE - Monitor closely"
-    )
+    warning = F.when(rate > 10, K.WARNING_HIGH).when(rate > 5, K.WARNING_ELEVATED)
     rows = stats.withColumn("generated", F.date_format(generated_at, "yyyy-MM-dd HH:mm")).withColumn(
         "warning", warning
     ).withColumn("risk", risk_of(rate, inclusive=False))

@@ -232,18 +232,23 @@ def time_findings(df: DataFrame) -> DataFrame:
     alarm_hour = (
         anomaly_patterns(df).where("kind = 'hour' AND is_peak").select("position").scalar()
     )
+
+    def filled(sentence: str, value: Column) -> Column:
+        head, tail = sentence.split("{}")
+        return F.concat(F.lit(head), value, F.lit(tail))
+
     findings = F.array_compact(
         F.array(
-            F.concat(F.lit("Peak activity occurs at "), peak_hour.cast("string"), F.lit(":00 hours")),
-            F.concat(F.lit("Highest log volume on "), peak_day),
-            F.concat(F.lit("Overall trend: "), direction),
-            F.when(hourly, F.lit("Strong hourly seasonality detected")),
-            F.when(weekly, F.lit("Weekly pattern identified")),
+            filled(K.TIME_PEAK_HOUR, peak_hour.cast("string")),
+            filled(K.TIME_PEAK_DAY, peak_day),
+            filled(K.TIME_TREND, direction),
+            F.when(hourly, F.lit(K.TIME_HOURLY)),
+            F.when(weekly, F.lit(K.TIME_WEEKLY)),
         )
     )
     advice = F.array_compact(
         F.array(
-            F.concat(F.lit("Monitor system closely around "), alarm_hour.cast("string"), F.lit(":00 hours")),
+            filled(K.TIME_ADVICE_HOUR, alarm_hour.cast("string")),
             F.when(strength > 0.5, F.lit(K.TIME_ADVICE_SEASONAL)),
             F.when(direction == "increasing", F.lit(K.TIME_ADVICE_GROWTH)),
             F.lit(K.TIME_ADVICE_ALWAYS),
@@ -325,11 +330,11 @@ def compliance_findings(df: DataFrame) -> DataFrame:
 
     high = finding(
         "HIGH", "Monitoring",
-        F.format_string("High anomaly rate detected: %.2f%%", rate), K.FINDING_MONITORING,
+        F.format_string(K.FINDING_RATE, rate), K.FINDING_MONITORING,
     )
     medium = finding(
         "MEDIUM", "Error Handling",
-        F.format_string("High error rate detected: %d errors in %d logs", errors, total),
+        F.format_string(K.FINDING_ERROR_RATE, errors, total),
         K.FINDING_ERRORS,
     )
     found = F.array_compact(
@@ -393,9 +398,9 @@ def scaling_fit(runs: DataFrame, by: list[str]) -> DataFrame:
         rating = F.when(hit, name) if rating is None else rating.when(hit, name)
     growth = (
         F.when(t.isNull(), "insufficient_data")
-        .when(t <= s * 1.2, "linear")
-        .when(t <= F.pow(s, F.lit(1.5)) * 1.2, "linearithmic")
-        .when(t <= s * s * 1.2, "quadratic")
-        .otherwise("polynomial")
+        .when(t <= s * 1.2, K.GROWTH_CLASSES["linear"])
+        .when(t <= F.pow(s, F.lit(1.5)) * 1.2, K.GROWTH_CLASSES["linearithmic"])
+        .when(t <= s * s * 1.2, K.GROWTH_CLASSES["quadratic"])
+        .otherwise(K.GROWTH_CLASSES["more"])
     )
     return stats.select(*by, "slope", growth.alias("growth"), "throughput", rating.otherwise("poor").alias("rating"))

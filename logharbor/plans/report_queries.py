@@ -304,7 +304,7 @@ def benchmark_diff(spark, sf_dir):
 o AS (SELECT *, size / lag(size) OVER w AS sr, time / lag(time) OVER w AS tr FROM r WINDOW w AS (PARTITION BY event_type ORDER BY size, time)),
 s AS (SELECT event_type, regr_slope(time, size) AS slope, avg(sr) AS s, avg(tr) AS t, avg(size / time) AS p FROM o GROUP BY 1)
 SELECT event_type, round(slope, 4) AS slope, round(p, 6) AS throughput,
-  CASE WHEN t IS NULL THEN 'insufficient_data' WHEN t <= s * 1.2 THEN 'linear' WHEN t <= pow(s, 1.5) * 1.2 THEN 'linearithmic' WHEN t <= s * s * 1.2 THEN 'quadratic' ELSE 'polynomial' END AS growth,
+  CASE WHEN t IS NULL THEN 'insufficient_data' WHEN t <= s * 1.2 THEN 'O(n) - Linear' WHEN t <= pow(s, 1.5) * 1.2 THEN 'O(n log n) - Linearithmic' WHEN t <= s * s * 1.2 THEN 'O(n²) - Quadratic' ELSE 'O(n³+) - Polynomial or worse' END AS growth,
   CASE WHEN p > 100000 THEN 'excellent' WHEN p > 50000 THEN 'very_good' WHEN p > 10000 THEN 'good' WHEN p > 1000 THEN 'fair' ELSE 'poor' END AS rating FROM s""",
 )
 def scaling_fit(spark, sf_dir):
