@@ -9,6 +9,11 @@ block by block; three bounds derived from sizes keep the blocks few:
   is filed under its parts (their number is fixed by a size class; a document that may link into the
   class below is filed there as well). Documents that share a part become candidates, as chains, never
   as pairs. A part holds several n-grams, so common n-grams do not bring strangers together.
+* Below 85 percent those parts would hold too little. There a document is filed under its rarest n-grams:
+  linked sets overlap in at least t of the larger one, so in any fixed order of all n-grams the first
+  n - ceil(t n) + 1 of both have one in common. The order puts those n-grams last that batches of
+  documents have seen most often (a list of bounded size; any list gives whole results), so a passage that
+  many documents share brings nobody together.
 * Only documents of one connected group of candidates are multiplied with each other. Groups lie one
   after the other, in order of size, in blocks of bounded content; a group that fills many blocks has
   products of those pairs of blocks whose sizes allow a link.
@@ -46,6 +51,10 @@ from logharbor.llm.common import (
 from logharbor.operators.density import connected_components
 
 _CLASS_STEPS = 3
+#: The least percentage for which a part holds enough to be telling.
+_PARTS_FROM = 85
+#: Bins of a sketch, and members of a bucket whose pairs are all looked at.
+_BINS, _FEW = 64, 32
 _U = np.uint64
 
 
@@ -105,28 +114,85 @@ def part_keys(grams: np.ndarray, percent: int, classes=None) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _filed(words: int, percent: int):
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def _repeated(words: int):
+    """N-grams that several documents of a batch hold, with how many."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 5000):
+            data, at = buffers(batch.column("text"))
+            # One array for each stretch of texts, not one for each text, is kept until the slice is counted.
+            runs = [np.concatenate(ngram_sets(LOWER[data[at[a] : at[b]]], at[a : b + 1] - at[a], words)) for a, b in stretches(at)]
+            every = np.concatenate([np.zeros(0, _U), *runs])
+            del runs
+            every.sort()
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(every)))
+            some = times > 1
+            yield pa.RecordBatch.from_arrays([pa.array(every[first][some].view(np.int64)), pa.array(times[some])], names=["gram", "times"])
+
+    return count
+
+
+def common_numbers(rows: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` n-grams seen most often inside batches, sorted, and how often."""
+    seen = rows.mapInArrow(_repeated(words), "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
+    top = kept(seen.orderBy(F.desc("times"), "gram").limit(most), "common").toArrow()
+    grams, times = top.column("gram").to_numpy().view(_U), top.column("times").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], times[order]
+
+
+def rare_keys(grams: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n-grams of a set in the common order, as many as links of this size need."""
+    size = len(grams)
+    if not size:
+        return grams
+    known, often = common
+    times = np.zeros(size, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        times = np.where(known[at] == grams, often[at], 0)
+    need = -(-percent * size // 100)
+    return grams[np.lexsort((grams, times))[: size - need + 1]]
+
+
+def _filed(words: int, percent: int, common=None):
     classes = _classes(percent)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Rare n-grams need nothing of the other rows of a batch, so little is held at a time.
+        for batch in batches if common is None else _slices(batches, 1024):
             data, at = buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
-            sizes, first, second, keys = [], [], [], []
+            sizes, first, second, keys, sketches = [], [], [], [], []
             for a, b in stretches(at):
                 for grams in ngram_sets(LOWER[data[at[a] : at[b]]], at[a : b + 1] - at[a], words):
                     sizes.append(len(grams))
                     first.append(mixed_bits(grams + _U(7)).sum(dtype=_U))
                     second.append(mixed_bits(grams ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))
-                    keys.append(part_keys(grams, percent, classes))
+                    if common is None:
+                        keys.append(part_keys(grams, percent, classes))
+                    else:
+                        keys.append(rare_keys(grams, percent, common.value))
+                        bins = np.bincount((grams >> _U(58)).astype(np.int64), minlength=_BINS)
+                        sketches.append(np.minimum(bins, 255).astype(np.uint8).tobytes())
             counts = np.array([len(k) for k in keys], np.int64)
             every = np.concatenate(keys) if keys else np.zeros(0, _U)
             owner = np.repeat(np.arange(len(keys)), counts)
             # In a batch only the first document of a part carries its key; the others name that document.
-            _, where, back = np.unique(every, return_index=True, return_inverse=True)
-            leader = owner[where][back]
-            leads = np.zeros(len(every), bool)
-            leads[where] = True
+            if common is None:
+                _, where, back = np.unique(every, return_index=True, return_inverse=True)
+                leader = owner[where][back]
+                leads = np.zeros(len(every), bool)
+                leads[where] = True
+            else:  # all pairs of small buckets are looked at, so every document carries its keys
+                leads, leader = np.ones(len(every), bool), owner
             follows = np.unique(np.stack([owner, leader], axis=1)[leader != owner], axis=0).reshape(-1, 2)
             lead_ends = np.concatenate(([0], np.cumsum(np.bincount(owner[leads], minlength=len(keys))))).astype(np.int32)
             near_ends = np.concatenate(([0], np.cumsum(np.bincount(follows[:, 0], minlength=len(keys))))).astype(np.int32)
@@ -138,8 +204,9 @@ def _filed(words: int, percent: int):
                     pa.array(np.array(second, _U).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(lead_ends), pa.array(every[leads].view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(near_ends), pa.array(ids[follows[:, 1]].astype(np.int64))),
+                    pa.array(sketches or [None] * batch.num_rows, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "sum_a", "sum_b", "keys", "near"],
+                names=["doc_id", "n_shingles", "sum_a", "sum_b", "keys", "near", "sketch"],
             )
 
     return file
@@ -156,6 +223,68 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_doc = key[-1:], doc[-1:]
 
 
+def _bucket_pairs(percent: int):
+    """Rows sorted by key, size and document: all pairs of a small bucket whose sizes allow a link, to be looked
+    at; of a larger bucket the chain of neighbours whose sizes allow one (``sure``), which connects no less."""
+
+    def emit(key, size, doc, big, last):
+        """Pairs of whole buckets; the last one may still go on and is handed back unless ``last``."""
+        n = len(key)
+        cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [n]))
+        width = np.diff(cuts)
+        wide = width > _FEW
+        if big:
+            wide[0] = True
+        end = n
+        if not last and not wide[-1]:
+            end = int(cuts[-2])
+        large = np.repeat(wide, width)[:end]
+        found = []
+        for step in range(1, min(_FEW, end)):
+            near = (key[step:end] == key[: end - step]) & (percent * size[step:end] <= 100 * size[: end - step])
+            near &= ~large[step:] if step > 1 else True
+            at = np.flatnonzero(near)
+            found.append((doc[at], doc[at + step], large[at]))
+        rest = slice(end, n) if end < n else slice(n - 1, n)
+        return found, (key[rest], size[rest], doc[rest], bool(wide[-1]) and end == n)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        held = (none, none, none, False)
+
+        def out(found):
+            if found:
+                a, b, sure = (np.concatenate(c) for c in zip(*found))
+                rows = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), sure.astype(np.int64)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] == 1)], names=["a", "b", "sure"])
+
+        for batch in batches:
+            if batch.num_rows:
+                columns = [np.concatenate((old, np.asarray(batch.column(c)))) for old, c in zip(held, ("key", "n", "doc_id"))]
+                # A large bucket that ended with the batch before left its last row, which begins nothing new.
+                if held[3] and columns[0][0] != columns[0][1]:
+                    columns, held = [c[1:] for c in columns], (none, none, none, False)
+                found, held = emit(*columns, held[3], False)
+                yield from out(found)
+        if len(held[0]) > 1:
+            yield from out(emit(*held[:3], held[3], True)[0])
+
+    return pairs
+
+
+def _alike(percent: int):
+    """Pairs whose sketches do not rule a link out: counts in bins differ by no more than the sets do."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (buffers(batch.column(c))[0].reshape(-1, _BINS).astype(np.int16) for c in ("sketch_a", "sketch_b"))
+            total = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
+            close = np.abs(x - y).sum(axis=1) * (100 + percent) <= total * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(close)), batch.column("b").filter(pa.array(close))], names=["a", "b"])
+
+    return choose
+
+
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None, columns: int = 4096) -> np.ndarray:
     """Overlap counts of sets: the product of their incidence matrices, accumulated over blocks of columns."""
     sets = left if right is None else left + right
@@ -231,7 +360,9 @@ def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(waiting)
 
 
-def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, block_grams: int = 1 << 20) -> DataFrame:
+def linked_documents(
+    docs: DataFrame, words: int = 5, percent: int = 80, block_grams: int = 1 << 20, most_common: int = 1_000_000
+) -> DataFrame:
     """``doc_id, n_shingles, n_links, component_id`` for every document.
 
     Words are runs of bytes other than white space, after lower-casing A-Z. Documents link when
@@ -242,18 +373,27 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, block_g
     Other columns are not read. No rows in, no rows out.
     """
     rows = one_text_each(docs)
+    common = rows.sparkSession.sparkContext.broadcast(common_numbers(rows, words, most_common)) if percent < _PARTS_FROM else None
     filed = kept(
-        rows.mapInArrow(_filed(words, percent), "doc_id long, n_shingles long, sum_a long, sum_b long, keys array<long>, near array<long>"),
+        rows.mapInArrow(_filed(words, percent, common), "doc_id long, n_shingles long, sum_a long, sum_b long, keys array<long>, near array<long>, sketch binary"),
         "filed",
     )
-    keyed = filed.select("doc_id", F.explode("keys").alias("key"))
-    chains = keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_chains, "a long, b long")
+    if common is None:
+        keyed = filed.select("doc_id", F.explode("keys").alias("key"))
+        chains = keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_chains, "a long, b long")
+    else:
+        keyed = filed.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+        met = keyed.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_bucket_pairs(percent), "a long, b long, sure boolean")
+        met = kept(met.groupBy("a", "b").agg(F.max("sure").alias("sure")), "met")
+        side = lambda s: filed.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+        looked = met.where("NOT sure").join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+        chains = met.where("sure").select("a", "b").unionAll(looked.mapInArrow(_alike(percent), "a long, b long"))
     near = filed.select(F.col("doc_id").alias("a"), F.explode("near").alias("b"))
     edges = kept(near.unionAll(chains).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     ends = kept(edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct(), "ends")
     groups = connected_components(ends, edges)
     members = kept(
-        filed.drop("keys", "near").join(groups, F.col("doc_id") == F.col("node")).select(
+        filed.drop("keys", "near", "sketch").join(groups, F.col("doc_id") == F.col("node")).select(
             "doc_id", "n_shingles", "sum_a", "sum_b", F.col("label").alias("group")
         ),
         "members",

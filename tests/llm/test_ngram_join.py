@@ -73,3 +73,23 @@ def test_repeated_and_missing_ids(spark):
 
 def test_no_rows(spark):
     assert ngram_join.linked_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_small_and_large_buckets_over_batches():
+    """All pairs of small buckets and the chains of large ones, wherever a batch ends."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    rows = sorted((int(k), int(n), i) for i, (k, n) in enumerate(zip(np.repeat([1, 2, 3, 4, 5], [3, 80, 1, 32, 33]), rng.integers(50, 60, 149))))
+    for step in (1, 7, 40, 200):
+        parts = [rows[i : i + step] for i in range(0, len(rows), step)]
+        batches = [pa.RecordBatch.from_pydict({"key": [r[0] for r in p], "n": [r[1] for r in p], "doc_id": [r[2] for r in p]}) for p in parts]
+        found = {tuple(x.values()) for b in ngram_join._bucket_pairs(80)(iter(batches)) for x in b.to_pylist()}
+        for key in (1, 2, 3, 4, 5):
+            docs = [r[2] for r in rows if r[0] == key]
+            if len(docs) <= 32:
+                assert {(min(a, b), max(a, b), False) for i, a in enumerate(docs) for b in docs[i + 1 :]} <= found
+            else:
+                pairs = {(min(a, b), max(a, b)) for a, b in zip(docs, docs[1:])}
+                assert pairs <= {(a, b) for a, b, _ in found}
