@@ -133,6 +133,15 @@ def _products(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np
     return first[0][owner] + inner // wide[owner], second[0][owner] + inner % wide[owner]
 
 
+def _pieces(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], chunk: int):
+    """Pairs of stretches, with the first stretch cut wherever the pair alone has more than ``chunk`` products."""
+    rows = np.maximum(chunk // np.maximum(second[1] - second[0], 1), 1)
+    count = np.maximum(-(-(first[1] - first[0]) // rows), 1)
+    owner = np.repeat(np.arange(len(count)), count)
+    begin = first[0][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * rows[owner]
+    return (begin, np.minimum(begin + rows[owner], first[1][owner])), (second[0][owner], second[1][owner])
+
+
 def _meet(a: _Tree, b: _Tree, at_least: float, same: bool, chunk: int = 2_000_000):
     """Links of the points of ``a`` and of ``b``, and pairs of a graph with the same components."""
     limit = float(np.sqrt(2 - 2 * at_least))
@@ -170,12 +179,12 @@ def _meet(a: _Tree, b: _Tree, at_least: float, same: bool, chunk: int = 2_000_00
             second = (b.level(depth)[0][j], b.level(depth)[0][j + 1])
         else:
             first, second = a.opened(depth, i), b.opened(depth, j)
+        first, second = _pieces(first, second, chunk)
         work = np.cumsum((first[1] - first[0]) * (second[1] - second[0]))
-        cuts = np.searchsorted(work, np.arange(chunk, (work[-1] if len(work) else 0) + chunk, chunk))
-        for low, high in zip(np.concatenate(([0], cuts[:-1])), cuts + 1):
-            low, high = (low + 1 if low else 0), min(high, len(i))
-            if low >= high:
-                continue
+        cuts = np.searchsorted(work, np.arange(chunk, (work[-1] if len(work) else 0) + chunk, chunk)) + 1
+        # Every slice begins where the one before ended: each piece is in exactly one.
+        bounds = np.unique(np.concatenate(([0], np.minimum(cuts, len(work)), [len(work)])))
+        for low, high in zip(bounds[:-1], bounds[1:]):
             x, y = _products((first[0][low:high], first[1][low:high]), (second[0][low:high], second[1][low:high]))
             if last:
                 points(x, y)

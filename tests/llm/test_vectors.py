@@ -64,3 +64,29 @@ def test_tree_covers_and_nests():
             assert s <= c < e and np.linalg.norm(ordered[s:e] - ordered[c], axis=1).max() <= r + 1e-12
         assert set(before) <= set(starts)
         before = starts
+
+
+@pytest.mark.parametrize("chunk", [100, 20_000, 2_000_000])
+def test_a_pair_of_nodes_beyond_the_chunk_is_walked_once(chunk):
+    rng = np.random.default_rng(5)
+    points = cover_tree._units(rng.normal(size=32) * 1.2 + rng.normal(size=(300 if chunk < 1_000_000 else 1500, 32)) * 0.3)
+    order, levels = cover_tree.build_tree(points, 0.04)
+    weights = rng.integers(1, 4, len(points))
+    tree = cover_tree._Tree(points[order], weights[order], [{"starts": s, "centres": c, "radii": r} for s, c, r in levels])
+    near = tree.points @ tree.points.T >= 0.95
+    assert 0.02 < near.mean() < 0.98
+    links_a, links_b, _ = cover_tree._meet(tree, tree, 0.95, False, chunk)
+    assert (links_a == near @ tree.weights).all() and (links_b == near.T @ tree.weights).all()
+    links, _, _ = cover_tree._meet(tree, tree, 0.95, True, chunk)
+    np.fill_diagonal(near, False)
+    assert (links == near @ tree.weights).all()
+
+
+def test_links_of_a_dense_cluster(spark):
+    rng = np.random.default_rng(6)
+    vectors = (rng.normal(size=32) * 1.2 + rng.normal(size=(1500, 32)) * 0.3).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    units = cover_tree._units(vectors)
+    expected = (units @ units.T >= 0.95).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in cover_tree.near_vectors(frame).collect()}
+    assert [got[i] for i in range(len(vectors))] == expected.tolist()
