@@ -1,9 +1,9 @@
 """Token counts with a whole-token shortcut.
 
 Before any text is read, every string of the vocabulary is encoded alone; those that come back as one
-token are proven whole. A text is cut where the tokenizer's own splitting must cut, pieces that are
-whole tokens count as one without further work, and only the rest is split by the pattern and
-merged pair by pair. Counts of pieces are remembered up to a bound.
+token are proven whole. Every text is cut where the tokenizer's own splitting must cut (at white
+space), pieces that are whole tokens count as one without further work, and only the rest is split by
+the pattern and merged pair by pair, both by tiktoken. Counts of pieces are remembered up to a bound.
 
 The vocabulary is read once by the driver and broadcast; its size does not depend on the data.
 """
@@ -26,6 +26,13 @@ from logharbor.llm.common import Remembered, buffers, letters_of_bytes, texts
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Two neighbouring spaces, or one at an end: there the quick cuts would not be the tokenizer's.
 _UNEVEN = re.compile(r"\s\s|^\s|\s\Z|[\x00\x1c-\x1f\x85]|[^\S \n]")
+#: White space as the splitting rule has it (Python's own class has four signs more).
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The cuts of that rule around white space: of a run before other signs all but the last is one piece,
+#: the last goes with them if it is a blank and stands alone if not; a run at the end is one piece.
+_CUTS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]+")
+#: Longer pieces of such a text (runs of white space, say) are not remembered.
+_LONG = 256
 
 
 def whole_tokens(vocabulary: str) -> set[str]:
@@ -57,7 +64,7 @@ class TokenCounter:
             if token not in special
         }
         merger = tiktoken.Encoding("counts", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self._merge = merger.encode_ordinary
+        self._merge, self._merge_one = merger.encode_ordinary, merger._encode_single_piece
         self._special = re.compile("|".join(map(re.escape, special))) if special else None
         self._whole = whole
         self._counts = Remembered(self._piece, remembered)
@@ -65,13 +72,15 @@ class TokenCounter:
     def _piece(self, piece: str) -> int:
         if piece in self._whole:
             return 1
-        return len(self._merge(piece))
+        # Nothing to split in a run of white space, and the pattern would need a stack as deep as the run.
+        return len(self._merge_one(piece) if piece.isspace() else self._merge(piece))
 
     def _ordinary(self, text: str) -> int:
         # A single blank goes with the word behind it, a single line feed stands alone: both begin a new
-        # piece in every case. Where spaces meet, the pattern decides.
+        # piece in every case. Where spaces meet, they are cut as the pattern does.
         if _UNEVEN.search(text):
-            return len(self._merge(text))
+            known = self._counts
+            return sum(known[piece] if len(piece) < _LONG else self._piece(piece) for piece in _CUTS.findall(text))
         return sum(map(self._counts.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
 
     def count(self, text: str) -> int:

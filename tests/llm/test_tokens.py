@@ -141,3 +141,32 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.token_counts(none, BYTES).count() == 0
     assert packing.packed(none, WORDS).count() == 0
+
+
+@pytest.fixture(scope="module")
+def byte_counter():
+    with open(BYTES, encoding="utf-8") as file:
+        vocabulary = file.read()
+    return token_counts.TokenCounter(vocabulary, frozenset(token_counts.whole_tokens(vocabulary)))
+
+
+def test_uneven_texts_take_the_whole_token_shortcut(byte_counter, monkeypatch):
+    merged = []
+    merge = byte_counter._merge
+    monkeypatch.setattr(byte_counter, "_merge", lambda text: merged.append(text) or merge(text))
+    text = " the day\n\n\n  and\t  the  night zqxj  \n"
+    assert byte_counter.count(text) == len(Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids)
+    assert merged == [" zqxj"]
+
+
+def test_white_space_is_cut_as_in_the_library(byte_counter):
+    rng = random.Random(3)
+    pool = ["a", "'s", "9", "!", "\x1c", "\x00", "​", *" \n\t\r\x0b\x85\xa0     　"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    expected = Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)
+    assert [byte_counter.count(t) for t in texts] == [len(e.ids) for e in expected]
+
+
+@pytest.mark.parametrize("text", ["\n" * 2_000_000, "a" + " \n" * 1_000_000 + "b"])
+def test_two_million_signs_of_white_space(byte_counter, text):
+    assert byte_counter.count(text) == len(Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids)
