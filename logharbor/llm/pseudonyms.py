@@ -19,15 +19,27 @@ from pyspark.sql import functions as F
 
 _ROUNDS = 8
 
+#: Lengths of IBANs by country (fixed values of the registry): where one ends when words in capitals follow.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC",
+}
+_IBANS = "|".join(
+    rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{size - 4}}}(?![A-Za-z0-9])" for size, names in _IBAN_LENGTHS.items()
+)
+#: Country codes of telephone numbers that have one or two digits; all others have three (fixed values).
+_CALLING = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+
 #: One alternative for each kind, in the order in which they are tried at a place (fixed value).
 KINDS: tuple[tuple[str, str], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[0-9]{11,30}(?![A-Za-z0-9])"),
+    ("iban", rf"(?<![A-Za-z0-9])(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}(?![A-Za-z0-9]))"),
     ("address", r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"),
     ("date", r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"),
     ("social", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?![0-9])"),
-    ("phone", r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"),
+    ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?![0-9])"),
+    ("phone", r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9+.-])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"),
 )
 FINDER = "(" + "|".join(pattern for _, pattern in KINDS) + ")"
 
@@ -120,13 +132,13 @@ def _remainder(text: Column) -> Column:
     )
 
 
-def _refilled(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced, in order, by those of ``digits``."""
+def _refilled(shape: Column, digits: Column, places: str = "^[0-9]$") -> Column:
+    """``shape`` with its digits (or the signs of ``places``) replaced, in order, by those of ``digits``."""
     filled = F.aggregate(
         F.split(shape, ""),
         F.struct(F.lit("").alias("text"), F.lit(1).alias("next")),
         lambda done, c: F.when(
-            c.rlike("^[0-9]$"),
+            c.rlike(places),
             F.struct(F.concat(done["text"], F.substring(digits, done["next"], F.lit(1))).alias("text"), (done["next"] + 1).alias("next")),
         ).otherwise(F.struct(F.concat(done["text"], c).alias("text"), done["next"].alias("next"))),
     )
@@ -167,8 +179,15 @@ def pseudonym(found: Column, kind: Column, key: str, back: bool = False) -> Colu
     check = (10 - luhn_sum(F.concat(card, F.lit("0")))) % 10
     card = _refilled(found, F.concat(card, check.cast("string")))
 
-    account = F.concat(F.substring(found, 1, 2), F.lit("00"), permuted_digits(F.substring(found, 5, 40), key, "iban", back))
-    account = F.concat(F.substring(account, 1, 2), F.lpad((98 - _remainder(account)).cast("string"), 2, "0"), F.substring(account, 5, 40))
+    # Letters and digits of an account stay such; blanks between groups do not count.
+    plain = F.replace(found, F.lit(" "), F.lit(""))
+    country, inside = F.substring(plain, 1, 2), F.substring(plain, 5, 40)
+    inside = F.when(inside.rlike("^[0-9]+$"), permuted_digits(inside, key, "iban", back)).otherwise(
+        _letters(inside, F.concat(F.lit("iban|"), country), key, back)
+    )
+    account = F.concat(country, F.lit("00"), inside)
+    account = F.concat(country, F.lpad((98 - _remainder(account)).cast("string"), 2, "0"), inside)
+    account = _refilled(found, account, "^[A-Z0-9]$")
 
     days = F.datediff(F.try_to_timestamp(found, F.lit("yyyy-MM-dd")).cast("date"), F.lit(_FIRST_DAY).cast("date")).cast("long")
     day = F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), permuted(days, _DAYS, key, "date", back).cast("int")), "yyyy-MM-dd")
@@ -206,10 +225,10 @@ def pseudonym(found: Column, kind: Column, key: str, back: bool = False) -> Colu
         (F.pmod(serial, F.lit(9999)) + 1).cast("int"),
     )
 
-    # A telephone number keeps its country code: only what follows the first group is permuted.
-    code = F.regexp_extract(found, r"^(\+[0-9]{1,3}[ .(-]*)", 1)
-    rest = F.substring(found, F.length(code) + 1, F.length(found))
-    phone = F.concat(code, _refilled(rest, permuted_digits(_digits(rest), key, "phone", back)))
+    # A telephone number keeps its country code; the rest is permuted without regard to how it is written.
+    code = F.when(found.startswith("+"), F.regexp_extract(digits, f"^({_CALLING})", 1)).otherwise("")
+    rest = F.substring(digits, F.length(code) + 1, F.length(digits))
+    phone = _refilled(found, F.concat(code, permuted_digits(rest, key, "phone", back)))
 
     # The name of a mailbox: letters and digits by the place in their alphabet, with the domain kept.
     name, domain = F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)

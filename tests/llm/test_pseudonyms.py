@@ -107,3 +107,27 @@ def test_permutation_of_a_whole_set(spark):
 def test_no_python_in_the_plan(docs):
     plan = pseudonyms.with_pseudonyms(docs.select("*"), "key")._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_other_written_forms(spark):
+    forms = {
+        "iban": ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "FR1420041010050500013M02606", "BE68 5390 0754 7034", "BE68539007547034"],
+        "card": ["3782 822463 10005", "3782-822463-10005"],
+        "phone": ["(555) 123-4567", "555-123-4567", "+1 555 123 4567", "+49 30 1234567", "+49301234567"],
+    }
+    rows = [(f"{kind} {v}", f"see {v} IN TIME") for kind, values in forms.items() for v in values]
+    there = pseudonyms.with_pseudonyms(spark.createDataFrame(rows, "doc_id string, text string"), "key")
+    found = {r["doc_id"]: r["found"] for r in there.collect()}
+    new = {}
+    for kind, values in forms.items():
+        for v in values:
+            (x,) = found[f"{kind} {v}"]
+            new[v] = x["pseudonym"]
+            shape = [re.sub("[A-Z]", "A", re.sub(r"\d", "9", t)) for t in (v, new[v])]
+            assert x["kind"] == kind and x["start"] == 4 and new[v] != v and shape[0] == shape[1]
+            assert kind == "phone" or _valid(kind, new[v].replace(" ", ""))
+    plain = {v: re.sub("[^A-Z0-9]", "", t) for v, t in new.items()}
+    assert plain["BE68 5390 0754 7034"] == plain["BE68539007547034"] and plain["+49 30 1234567"] == plain["+49301234567"]
+    assert plain["(555) 123-4567"] == plain["555-123-4567"] == plain["+1 555 123 4567"][1:]
+    back = pseudonyms.with_pseudonyms(there, "key", back=True)
+    assert {(r["doc_id"], r["text"]) for r in back.collect()} == set(rows)
