@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import IdMap, byte_numbers, buffers, kept, mixed_bits, one_text_each, power_tables
+from logharbor.llm.common import IdMap, byte_numbers, buffers, kept, mixed_bits, one_text_each, power_tables, stretches
 
 _U = np.uint64
 _PIECE = 1 << 20
+#: Bytes of texts whose samples are held at a time, and surroundings cut out at a time.
+_STRETCH, _CUTS = 4 << 20, 5000
 _FEW = 48
 _MANY = 4096
 
@@ -94,31 +96,35 @@ def _triples(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray
 
 
 def _samples(length: int, gram: int):
+    def rows(data: np.ndarray, at: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        position, text, grams, around, left, right = cover_sample(data, at, length, gram)
+        doc, place = ids[text].astype(np.int64), position - at[text]
+        order = np.lexsort((place, doc, around, grams))
+        doc, place, grams, around, left, right = (c[order] for c in (doc, place, grams, around, left, right))
+        first = np.ones(len(doc), bool)
+        first[1:] = (grams[1:] != grams[:-1]) | (around[1:] != around[:-1])
+        owner = np.cumsum(first) - 1
+        later = ~first
+        covered = _triples(doc[later], (place - left)[later], (place + right)[later])
+        ends = np.concatenate(([0], np.cumsum(3 * np.bincount(owner[later], minlength=int(first.sum()))))).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(grams[first].view(np.int64)),
+                pa.array(around[first].view(np.int64)),
+                pa.array(doc[first]),
+                pa.array(place[first]),
+                pa.array((left * 65536 + right)[first].astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(covered)),
+            ],
+            names=["bucket", "around", "doc_id", "place", "reach", "covered"],
+        )
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
-            position, text, grams, around, left, right = cover_sample(data, at, length, gram)
-            doc, place = ids[text].astype(np.int64), position - at[text]
-            order = np.lexsort((place, doc, around, grams))
-            doc, place, grams, around, left, right = (c[order] for c in (doc, place, grams, around, left, right))
-            first = np.ones(len(doc), bool)
-            first[1:] = (grams[1:] != grams[:-1]) | (around[1:] != around[:-1])
-            owner = np.cumsum(first) - 1
-            later = ~first
-            covered = _triples(doc[later], (place - left)[later], (place + right)[later])
-            ends = np.concatenate(([0], np.cumsum(3 * np.bincount(owner[later], minlength=int(first.sum()))))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(grams[first].view(np.int64)),
-                    pa.array(around[first].view(np.int64)),
-                    pa.array(doc[first]),
-                    pa.array(place[first]),
-                    pa.array((left * 65536 + right)[first].astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(covered)),
-                ],
-                names=["bucket", "around", "doc_id", "place", "reach", "covered"],
-            )
+            for a, b in stretches(at, _STRETCH):
+                yield rows(data[at[a] : at[b]], at[a : b + 1] - at[a], ids[a:b])
 
     return sample
 
@@ -181,8 +187,8 @@ def _cut(reach: int, length: int):
             bucket, place, left, right = (np.asarray(fields.field(i)).astype(np.int64) for i in range(4))
             owner = np.repeat(np.arange(batch.num_rows), counts)
             doc, centre = batch.column("doc_id").to_numpy()[owner], at[owner] + place
-            for low in range(0, len(doc), 50_000):
-                part = slice(low, low + 50_000)
+            for low in range(0, len(doc), _CUTS):
+                part = slice(low, low + _CUTS)
                 column = np.arange(-reach, length)
                 where = centre[part, None] + column
                 real = (column >= -left[part, None]) & (column < right[part, None])
@@ -249,14 +255,19 @@ def _compare(reach: int, length: int):
         second = np.concatenate([np.zeros(0, np.int64), *(np.concatenate([np.arange(i + 1, s) for i in range(s)]) if s > 1 else np.zeros(0, np.int64) for s in size)])
         base = np.repeat(low, size * (size - 1) // 2)
         i, j = (base + first).astype(np.int64), (base + second).astype(np.int64)
-        for part in range(0, len(i), 100_000):
-            a, b = i[part : part + 100_000], j[part : part + 100_000]
+        for part in range(0, len(i), 20_000):
+            a, b = i[part : part + 20_000], j[part : part + 20_000]
             equal = around[a] == around[b]
             to_left = _common(equal[:, :reach][:, ::-1], np.minimum(left[a], left[b]))
             to_right = _common(equal[:, reach:], np.minimum(right[a], right[b]))
             long = to_left + to_right >= length
             yield b[long], to_left[long], to_right[long]
 
+    def stretch(doc, place, row, to_left, to_right) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[row]), pa.array(place[row] - to_left), pa.array(place[row] + to_right)], names=["doc_id", "start", "stop"]
+        )
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_buckets(batches):
             bucket, doc, place, left, right = (table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "doc_id", "place", "left_", "right_"))
@@ -265,7 +276,8 @@ def _compare(reach: int, length: int):
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
             low, high = cuts[:-1], cuts[1:]
             few = high - low <= _FEW
-            found = list(pairs(around, left, right, low[few], high[few]))
+            for row, to_left, to_right in pairs(around, left, right, low[few], high[few]):
+                yield stretch(doc, place, row, to_left, to_right)
             for a, b in zip(low[~few], high[~few]):
                 for start, rank in sort_suffixes(around[a:b], length, range(reach + 1)):
                     whole = np.flatnonzero((start >= reach - left[a:b]) & (start + length <= reach + right[a:b]))
@@ -274,11 +286,7 @@ def _compare(reach: int, length: int):
                     again = np.ones(len(whole), bool)
                     again[earliest] = False
                     row = whole[again] + a
-                    found.append((row, np.full(len(row), reach - start), np.full(len(row), start + length - reach)))
-            for row, to_left, to_right in found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[row]), pa.array(place[row] - to_left), pa.array(place[row] + to_right)], names=["doc_id", "start", "stop"]
-                )
+                    yield stretch(doc, place, row, reach - start, start + length - reach)
 
     return compare
 
