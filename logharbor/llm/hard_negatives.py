@@ -1,7 +1,7 @@
 """Hard negatives by an inverted multi-index over integer vectors.
 
 1. Each half of a vector has a codebook, fitted by k-means on a bounded sample of rows; a pair of codewords is a cell.
-   All rows are filed: they are sorted by cell and cut into shelves of ``shelf_rows``, so a cell that holds a third of
+   All rows are filed: they are sorted by cell and cut into shelves of bounded size, so a cell that holds a third of
    all rows spans many shelves. Codewords know the radius of the half-vectors filed under them.
 2. An anchor's product with a row is the sum over the halves, and in each half at most its product with the codeword plus
    its norm times the radius. A heap over the two lists, sorted by these bounds, names cells in the order of the sum.
@@ -30,6 +30,8 @@ from logharbor.llm.common import kept, with_running_total
 #: Rows codebooks are fitted on, at most.
 FIT_ROWS = 20_000
 _MOST_WORDS = 64
+#: Rows of a shelf, at most; fewer while there are not enough shelves for many tasks.
+_SHELF = 8192
 _SLICE = 256
 
 
@@ -111,14 +113,16 @@ def usable(rows: DataFrame) -> tuple[DataFrame, int]:
     return sound, width
 
 
-def build_index(rows: DataFrame, width: int, codewords: int | None = None, shelf_rows: int = 8192) -> tuple[DataFrame, Codebooks]:
+def build_index(rows: DataFrame, width: int, codewords: int | None = None, shelf_rows: int | None = None) -> tuple[DataFrame, Codebooks]:
     """Stored ``vec_id, label, vector, cell, shelf`` of all rows and the codebooks.
 
     ``codewords`` for each half: by default the root of a 200th of the rows, between 2 and 64. Codebooks are fitted on
     the ``FIT_ROWS`` rows with the least hash of their id.
     """
     rows = kept(rows.select("vec_id", "label", "vector"), "vectors")
-    words = codewords or int(min(_MOST_WORDS, max(2, (rows.count() / 200) ** 0.5)))
+    count = rows.count()
+    words = codewords or int(min(_MOST_WORDS, max(2, (count / 200) ** 0.5)))
+    shelf_rows = shelf_rows or min(_SHELF, max(_SHELF // 16, count // 64))
     sample = rows.select(F.xxhash64("vec_id").alias("draw"), "vec_id", "vector").orderBy("draw", "vec_id").limit(FIT_ROWS).toArrow()
     points = _matrix(sample.column("vector").combine_chunks(), width) if len(sample) else np.zeros((1, width))
     cut = width // 2
@@ -317,7 +321,7 @@ def hard_negatives(
     negatives: int = 3,
     window: tuple[int, int] = (50, 95),
     codewords: int | None = None,
-    shelf_rows: int = 8192,
+    shelf_rows: int | None = None,
     anchors_a_task: int = 1 << 16,
 ) -> DataFrame:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``.
