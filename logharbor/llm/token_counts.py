@@ -2,10 +2,12 @@
 
 Before any text is read, every string of the vocabulary is encoded alone; those that come back as one
 token are proven whole. Every text is cut where the tokenizer's own splitting must cut (at white
-space), pieces that are whole tokens count as one without further work, and only the rest is split by
-the pattern and merged pair by pair, both by tiktoken. Counts of pieces are remembered up to a bound.
+space), and the pieces are split into pre-tokens by its pattern. Pre-tokens that are proven whole count as one
+without further work; only the others are merged pair by pair, by tiktoken. Counts of pieces are remembered up to a
+bound.
 
-The vocabulary is read once by the driver and broadcast; its size does not depend on the data.
+The vocabulary is read once by the driver and broadcast, its size does not depend on the data; the proof is made
+once for each vocabulary and process.
 """
 
 from __future__ import annotations
@@ -17,13 +19,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logharbor.llm.common import Remembered, buffers, letters_of_bytes, texts
 
-#: The splitting rule of the byte-level vocabulary (fixed value of the tokenizer).
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Two neighbouring spaces, or one at an end: there the quick cuts would not be the tokenizer's.
 _UNEVEN = re.compile(r"\s\s|^\s|\s\Z|[\x00\x1c-\x1f\x85]|[^\S \n]")
 #: White space as the splitting rule has it (Python's own class has four signs more).
@@ -31,11 +32,14 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: The cuts of that rule around white space: of a run before other signs all but the last is one piece,
 #: the last goes with them if it is a blank and stands alone if not; a run at the end is one piece.
 _CUTS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]+")
+#: The splitting rule of the byte-level vocabulary (fixed value of the tokenizer), white space written out.
+_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Longer pieces of such a text (runs of white space, say) are not remembered.
 _LONG = 256
 
 
-def whole_tokens(vocabulary: str) -> set[str]:
+@lru_cache(maxsize=4)
+def whole_tokens(vocabulary: str) -> frozenset[str]:
     """Strings of a vocabulary (the text of a tokenizers file) that the library encodes alone as one token."""
     from tokenizers import Tokenizer
 
@@ -47,7 +51,7 @@ def whole_tokens(vocabulary: str) -> set[str]:
         except (UnicodeDecodeError, KeyError):
             pass  # Part of a character: never a text of its own.
     ordered = sorted(strings)
-    return {s for s, e in zip(ordered, library.encode_batch(ordered, add_special_tokens=False)) if len(e.ids) == 1}
+    return frozenset(s for s, e in zip(ordered, library.encode_batch(ordered, add_special_tokens=False)) if len(e.ids) == 1)
 
 
 class TokenCounter:
@@ -63,8 +67,9 @@ class TokenCounter:
             for token, number in spec["model"]["vocab"].items()
             if token not in special
         }
-        merger = tiktoken.Encoding("counts", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self._merge, self._merge_one = merger.encode_ordinary, merger._encode_single_piece
+        # Only the merging of single pre-tokens is asked of it, so its own pattern is not used.
+        self._merge = tiktoken.Encoding("counts", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self._split = regex.compile(_SPLIT).findall
         self._special = re.compile("|".join(map(re.escape, special))) if special else None
         self._whole = whole
         self._counts = Remembered(self._piece, remembered)
@@ -72,8 +77,9 @@ class TokenCounter:
     def _piece(self, piece: str) -> int:
         if piece in self._whole:
             return 1
-        # Nothing to split in a run of white space, and the pattern would need a stack as deep as the run.
-        return len(self._merge_one(piece) if piece.isspace() else self._merge(piece))
+        # A run of white space is one pre-token.
+        parts = (piece,) if piece.isspace() else self._split(piece)
+        return sum(1 if part in self._whole else len(self._merge(part)) for part in parts)
 
     def _ordinary(self, text: str) -> int:
         # A single blank goes with the word behind it, a single line feed stands alone: both begin a new
@@ -105,7 +111,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         vocabulary = file.read()
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, frozenset(whole_tokens(vocabulary))))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, whole_tokens(vocabulary)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(*shared.value)
