@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,24 @@ def kept(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``function`` for ``mapInArrow``, giving free memory back to the system when a task ends.
+
+    Workers of earlier stages stay alive beside the JVM; without this they keep what their largest batch took.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with the GNU library only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, row by row; a null text is an empty one."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -104,12 +124,32 @@ def byte_numbers(data: np.ndarray) -> np.ndarray:
     return _BYTES[data]
 
 
-def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each word that depends on its bytes alone: values of its bytes, weighted by place."""
-    powers, backs = power_tables(1 << max(21, len(data).bit_length()))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers[: len(data)], out=total[1:])
-    return mixed_bits((total[ends] - total[starts]) * backs[starts])
+#: Words up to this length are read eight bytes at a time, longer ones by the library.
+_LONG_WORD = 256
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit number for each word that depends on its bytes alone, another one for each ``seed``.
+
+    Blocks of eight bytes are mixed into the number one after another, so no regular pattern of bytes cancels out.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    length = ends - starts
+    number = mixed_bits(length.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & (1 << 64) - 1))
+    short = np.flatnonzero(length <= _LONG_WORD)
+    at = 0
+    while len(short):
+        left = length[short] - at
+        keep = np.uint64(8) * np.minimum(left, 8).astype(np.uint64)
+        block = eight[starts[short] + at] & (~np.uint64(0) >> (np.uint64(64) - keep))
+        number[short] = mixed_bits((number[short] ^ block) * _BASE + np.uint64(0x27D4EB2F165667C5))
+        at += 8
+        short = short[left > 8]
+    body = memoryview(data)
+    for i in np.flatnonzero(length > _LONG_WORD).tolist():
+        number[i] = xxhash.xxh3_64_intdigest(body[starts[i] : ends[i]], seed)
+    return number
 
 
 def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,7 +241,7 @@ def with_running_total(df: DataFrame, order: Sequence[str], value: str, purpose:
             rows, total = rows + len(size), total + int(size.sum())
 
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    local = kept(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(count, schema), purpose)
+    local = kept(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(lean(count), schema), purpose)
     ends = local.groupBy("range_").agg(F.count("*").alias("rows"), F.sum(value).alias("total")).orderBy("range_").collect()
     starts, rows, total = [], 0, 0
     for end in ends:
@@ -246,16 +286,28 @@ class IdMap:
                 yield batch.filter(pa.array(there if inside else ~there)).select(range(columns))
 
         mark = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(_MAP_BITS))
-        return docs.select("*", mark.alias("__mark")).mapInArrow(choose, docs.schema)
+        return docs.select("*", mark.alias(fresh(docs, "mark")[0])).mapInArrow(lean(choose), docs.schema)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that no column of ``docs`` has."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose ``doc_id`` is not in the column ``doc_id`` of ``dropped``."""
     dropped = kept(dropped.select("doc_id").distinct(), "dropped")
     ids = IdMap(dropped)
-    gone = dropped.withColumnRenamed("doc_id", "__gone").hint("merge")
+    name = fresh(docs, "gone")[0]
+    gone = dropped.withColumnRenamed("doc_id", name).hint("merge")
     maybe = ids.split(docs, True)
-    return ids.split(docs, False).unionAll(maybe.join(gone, maybe["doc_id"] == gone["__gone"], "left_anti"))
+    return ids.split(docs, False).unionAll(maybe.join(gone, maybe["doc_id"] == gone[name], "left_anti"))
 
 
 def one_row_each(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import buffers, kept, stretches, texts, word_bounds, word_numbers
+from logharbor.llm.common import buffers, fresh, kept, lean, stretches, texts, word_bounds, word_numbers
 
 _KINDS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -213,7 +213,7 @@ def fit(
     calibrates = F.pmod(F.shiftrightunsigned("draw", 41), F.lit(5)) == 0
     left, right = ridge * count * np.eye(features + 1) / features, np.zeros(features + 1)
     left[-1, -1] = 1e-9
-    for part in rows.where(~calibrates).coalesce(parts).mapInArrow(add, "a binary, b binary").toLocalIterator():
+    for part in rows.where(~calibrates).coalesce(parts).mapInArrow(lean(add), "a binary, b binary").toLocalIterator():
         left += np.frombuffer(part["a"]).reshape(left.shape)
         right += np.frombuffer(part["b"])
     model.weights = np.linalg.solve(left, right)
@@ -224,7 +224,7 @@ def fit(
             place = np.minimum(((raw + 0.5) / 2 * bins).astype(np.int32), bins - 1)
             yield pa.RecordBatch.from_arrays([pa.array(place), batch.column("good")], names=["bin", "good"])
 
-    found = rows.where(calibrates).mapInArrow(bin_of, "bin int, good double").groupBy("bin").agg(F.sum("good").alias("good"), F.count("*").alias("n"))
+    found = rows.where(calibrates).mapInArrow(lean(bin_of), "bin int, good double").groupBy("bin").agg(F.sum("good").alias("good"), F.count("*").alias("n"))
     good, n = np.zeros(bins), np.zeros(bins)
     for row in found.collect():  # at most ``bins`` rows
         good[row["bin"]], n[row["bin"]] = row["good"], row["n"]
@@ -238,7 +238,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options
     Labels, language, source and id are no inputs of a score. Repeated rows get a row each; a null id
     is not held out. Without any usable label every score is 0.5.
     """
-    measured = kept(texts(docs).mapInArrow(_measure, "doc_id long, statistics array<double>"), "statistics")
+    measured = kept(texts(docs).mapInArrow(lean(_measure), "doc_id long, statistics array<double>"), "statistics")
     model = fit(measured, labels, **options)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +247,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options
             scores = model.score(values) if model else np.full(len(values), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
-    return measured.mapInArrow(apply, "doc_id long, score double").select(
+    return measured.mapInArrow(lean(apply), "doc_id long, score double").select(
         "doc_id",
         F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
@@ -257,7 +257,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier does not reject; no row moves for that."""
-    model = fit(kept(texts(docs).mapInArrow(_measure, "doc_id long, statistics array<double>"), "statistics"), labels, **options)
+    model = fit(kept(texts(docs).mapInArrow(lean(_measure), "doc_id long, statistics array<double>"), "statistics"), labels, **options)
     if model is None:
         return docs
     last = len(docs.columns)
@@ -267,4 +267,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, *
             data, at = buffers(batch.column(last))
             yield batch.filter(pa.array(model.score(_measured(data, at)) >= threshold)).select(range(last))
 
-    return docs.select("*", F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(choose, docs.schema)
+    return docs.select("*", F.coalesce("text", F.lit("")).alias(fresh(docs, "whole_text")[0])).mapInArrow(lean(choose), docs.schema)

@@ -94,6 +94,51 @@ def test_mix_of_nothing(spark):
     assert source_mix.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mix_of_repeated_ids_and_clashing_names(spark):
+    """Rows of one id are one row of the mix; columns may have any name."""
+    rows = [(1, "a b c", "s", "en", 9), (1, "a b", "s", "en", 9), (2, "c " * 20, None, "en", 9), (None, "d", "s", "en", 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, taken string, copy int")
+    got = source_mix.mixed(frame)
+    assert got.columns == frame.columns
+    assert {r["text"] for r in got.collect()} <= {"a b c", "c " * 20}
+    assert [r["n"] for r in source_mix.mix(frame).groupBy("doc_id").agg(F.count("*").alias("n")).orderBy("doc_id").collect()] == [1, 2, 1]
+    odd = frame.withColumnsRenamed({"taken": "mark", "copy": "gone"})
+    dropped = spark.createDataFrame([(2,)], "doc_id long")
+    assert sorted(r["text"] for r in common.without_ids(odd.where("doc_id IS NOT NULL"), dropped).collect()) == ["a b", "a b c"]
+
+
+def test_inclusion_against_a_plain_solution(spark):
+    rng = random.Random(8)
+    sizes = {s: [rng.choice([0, 1, 3, 10, 50, 400, 5000]) for _ in range(n)] for s, n in (("a", 80), ("b", 5), (None, 300), ("none", 3))}
+    wanted = {"a": 3000.0, "b": 2.0, None: 4321.5, "none": 0.0}
+    rows = [(s, i, size, wanted[s]) for s, held in sizes.items() for i, size in enumerate(held)]
+    got = source_mix.inclusion(spark.createDataFrame(rows, "source string, i int, size long, wanted double")).collect()
+    for s, held in sizes.items():
+        fit = [x for x in held if 0 < x <= wanted[s]]
+        low, high = 0.0, 1.0
+        for _ in range(200):  # bisection for the scale
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(1.0, c * x) * x for x in fit) < wanted[s] else (low, c)
+        for r in got:
+            if r["source"] == s:
+                p = min(1.0, high * r["size"]) if r["size"] in fit else 0.0
+                assert r["p"] == pytest.approx(p, rel=1e-6, abs=1e-9)
+
+
+def test_mix_with_long_documents_is_near_its_targets(spark):
+    """Documents longer than what is wanted do not stand in the way, and long ones are likelier."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.choice([3, 10, 200, 9000 if i % 40 == 0 else 30]), "en", f"s{i % 6}", 1, "x", 2) for i in range(900)]
+    got = source_mix.mix(spark.createDataFrame(rows, DOCS)).collect()
+    for s in range(6):
+        mine = [r for r in got if r["source"] == f"s{s}"]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(0.02 * mine[0]["target"], 200)
+        # The share of documents of 200 words that got more copies than the least is above that of documents of 10.
+        more = lambda size: [r["copies"] > min(m["copies"] for m in mine) for r in mine if r["size"] == size]
+        if any(more(10)) or any(more(200)):
+            assert sum(more(200)) / len(more(200)) >= sum(more(10)) / len(more(10))
+
+
 def test_pareto_sample_keeps_inclusion_probabilities(spark):
     """Ranks by odds: a document with twice the probability is among the first about twice as often."""
     rows = spark.range(40_000).select(
