@@ -89,7 +89,72 @@ def test_small_and_large_buckets_over_batches():
         for key in (1, 2, 3, 4, 5):
             docs = [r[2] for r in rows if r[0] == key]
             if len(docs) <= 32:
-                assert {(min(a, b), max(a, b), False) for i, a in enumerate(docs) for b in docs[i + 1 :]} <= found
+                assert {(min(a, b), max(a, b), None) for i, a in enumerate(docs) for b in docs[i + 1 :]} <= found
             else:
                 pairs = {(min(a, b), max(a, b)) for a, b in zip(docs, docs[1:])}
-                assert pairs <= {(a, b) for a, b, _ in found}
+                assert pairs <= {(min(a, b), max(a, b)) for a, b, k in found if k == key}
+
+
+def _components(rows):
+    return sorted((i, n, label) for i, n, _, label in rows)
+
+
+@pytest.mark.parametrize("seed, percent, grams", [(0, 80, 1 << 20), (1, 80, 2048), (2, 60, 1024)])
+def test_components_alone(spark, seed, percent, grams):
+    """Many blocks, small and large buckets: components are those of all pairs."""
+    rng = random.Random(seed)
+    rows = corpus(seed)
+    passage = [f"p{i}" for i in range(40)]
+    rows += [(20_000 + i, " ".join(passage[: 30 + i % 9] + [f"own{i // 3}{k}" for k in range(12 + rng.randrange(30))])) for i in range(90)]
+    rows += [(30_000 + i, " ".join([*passage[: rng.randrange(3)], *(f"n{k}" for k in range(60) if k != i % 60), f"z{i}"])) for i in range(70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = ngram_join.linked_documents(frame, 5, percent, grams, count_links=False).collect()
+    assert _components(map(tuple, got)) == _components(expected(rows, 5, percent))
+
+
+def test_words_with_mirrored_patterns_share_nothing(spark):
+    """Two words in Thue-Morse order, letters exchanged, agree in every polynomial modulo a power of two."""
+    order = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(1, "".join("ab"[x] for x in order)), (2, "".join("ba"[x] for x in order)), (3, "a" * 300), (4, "a" * 299 + "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (90, 80):
+        got = sorted(map(tuple, ngram_join.linked_documents(frame, 3, percent).collect()))
+        assert got == [(i, 1, 0, i) for i in (1, 2, 3, 4)]
+
+
+def test_very_long_texts(spark):
+    base = [f"w{i % 977}x{i % 31}" for i in range(60_000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-40], "other"])), (3, "x" * 500_000), (4, "x" * 500_000), (5, None)]
+    got = ngram_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted(map(tuple, got)) == expected(rows, 3, 90)
+
+
+def test_word_numbers_tell_bytes_apart():
+    import numpy as np
+
+    from logharbor.llm.common import word_bounds, word_numbers
+
+    rng = random.Random(1)
+    words = {"".join(rng.choice("ab") for _ in range(rng.choice([1, 3, 7, 8, 9, 16, 17, 255, 256, 257, 600]))) for _ in range(3000)}
+    words = sorted(words)
+    data = np.frombuffer(" ".join([*words, *words]).encode(), np.uint8)
+    starts, ends, _ = word_bounds(data, np.array([0, len(data)]))
+    for seed in (0, 1):
+        numbers = word_numbers(data, starts, ends, seed)
+        assert (numbers[: len(words)] == numbers[len(words) :]).all() and len(set(numbers.tolist())) == len(words)
+
+
+def test_overlaps_of_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, most in ((12, 40), (40, 200), (3, 5)):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(0, most)).astype(np.uint64)) for _ in range(n)]
+        sets += [sets[0]] * 6
+        plain = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+        same = ngram_join._overlaps(sets, None, columns=7)
+        off = ~np.eye(len(sets), dtype=bool)
+        assert (same[off] == np.array(plain)[off]).all()
+        assert ngram_join._overlaps(sets[:5], sets[5:], columns=7).tolist() == [row[5:] for row in plain[:5]]
+    none = [np.zeros(0, np.uint64)] * 2
+    assert ngram_join._overlaps(none, None).tolist() == [[0, 0], [0, 0]]
