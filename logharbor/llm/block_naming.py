@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import LOWER, buffers, kept, one_row_each, one_text_each, without_ids
+from logharbor.llm.common import LOWER, buffers, kept, lean, one_row_each, one_text_each, without_ids
 
 _OWNED = "item binary, doc_id array<long>, place array<long>, parts array<long>"
 _NAMED = "doc_id long, place long, parts long, name long"
@@ -85,12 +85,12 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _named(owned: DataFrame) -> DataFrame:
-    return kept(owned.repartition("item").sortWithinPartitions("item").mapInArrow(_number, _NAMED), "names")
+    return kept(owned.repartition("item").sortWithinPartitions("item").mapInArrow(lean(_number), _NAMED), "names")
 
 
 def document_names(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
     """``doc_id, level, name``: equal (level, name) means equal text once A-Z is in lower case."""
-    level = _named(docs.mapInArrow(_blocks(block_bytes), _OWNED))
+    level = _named(docs.mapInArrow(lean(_blocks(block_bytes)), _OWNED))
     most = level.agg(F.max("parts")).head()[0] or 1
     done, depth = [level.where("parts = 1").select("doc_id", F.lit(0).alias("level"), "name")], 0
     while most > 1:
@@ -104,7 +104,7 @@ def document_names(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
                 F.coalesce(F.max(F.expr("CASE WHEN place % 2 = 1 THEN name END")), F.lit(-1)).alias("right"),
             )
         )
-        level = _named(pairs.mapInArrow(_pairs, _OWNED))
+        level = _named(pairs.mapInArrow(lean(_pairs), _OWNED))
         done.append(level.where("parts = 1").select("doc_id", F.lit(depth).alias("level"), "name"))
     names = done[0]
     for more in done[1:]:
@@ -133,7 +133,7 @@ def exact_groups(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
         names.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"),
         "groups",
     )
-    digests = rows.mapInArrow(_digests, "doc_id long, text_sha256 string")
+    digests = rows.mapInArrow(lean(_digests), "doc_id long, text_sha256 string")
     found = names.join(groups, ["level", "name"], "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),

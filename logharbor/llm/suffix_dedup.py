@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logharbor.llm.common import IdMap, byte_numbers, buffers, kept, mixed_bits, one_text_each, power_tables, stretches
+from logharbor.llm.common import IdMap, buffers, byte_numbers, kept, lean, mixed_bits, one_text_each, power_tables, stretches
 
 _U = np.uint64
 _PIECE = 1 << 20
@@ -354,9 +354,9 @@ def covered_stretches(docs: DataFrame, length: int = 100) -> DataFrame:
     """``doc_id, start, stop``: stretches of bytes to remove, possibly overlapping, for unique ids and no null texts."""
     gram = max(4, length // 3)
     reach = length - gram
-    sampled = docs.mapInArrow(_samples(length, gram), _SAMPLED)
+    sampled = docs.mapInArrow(lean(_samples(length, gram)), _SAMPLED)
     settled = kept(
-        sampled.repartition("bucket").sortWithinPartitions("bucket", "around", "doc_id", "place").mapInArrow(_settle, _SETTLED), "settled"
+        sampled.repartition("bucket").sortWithinPartitions("bucket", "around", "doc_id", "place").mapInArrow(lean(_settle), _SETTLED), "settled"
     )
     known = settled.where("bucket IS NULL").select("doc_id", (F.col("place") - F.col("left_")).alias("start"), (F.col("place") + F.col("right_")).alias("stop"))
     mixed = settled.where("bucket IS NOT NULL")
@@ -365,7 +365,7 @@ def covered_stretches(docs: DataFrame, length: int = 100) -> DataFrame:
     texts = IdMap(mixed).split(docs, True)
     around = kept(
         texts.join(wanted, F.col("doc_id") == F.col("wanted_id")).select("doc_id", "text", "wanted").mapInArrow(
-            _cut(reach, length), "bucket long, doc_id long, place long, left_ int, right_ int, around binary"
+            lean(_cut(reach, length)), "bucket long, doc_id long, place long, left_ int, right_ int, around binary"
         ),
         "around",
     )
@@ -374,7 +374,7 @@ def covered_stretches(docs: DataFrame, length: int = 100) -> DataFrame:
         around.join(crowded, around["bucket"] == crowded["full"], "left_anti")
         .repartition("bucket")
         .sortWithinPartitions("bucket", "doc_id", "place")
-        .mapInArrow(_compare(reach, length), covers)
+        .mapInArrow(lean(_compare(reach, length)), covers)
     )
     large = around.join(crowded, around["bucket"] == crowded["full"], "left_semi")
     strings = large.select("*", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("start_")).where(
@@ -386,7 +386,7 @@ def covered_stretches(docs: DataFrame, length: int = 100) -> DataFrame:
         )
         .repartition("bucket", "start_")
         .sortWithinPartitions("bucket", "start_", "string", "doc_id", "place")
-        .mapInArrow(_neighbours(length), covers)
+        .mapInArrow(lean(_neighbours(length)), covers)
     )
     return known.unionAll(small).unionAll(by_spark)
 
@@ -407,4 +407,4 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     whole = ids.split(rows, False).select("doc_id", "text", none.alias("covers"))
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return touched.mapInArrow(_apply, result).unionAll(whole.mapInArrow(_apply, result))
+    return touched.mapInArrow(lean(_apply), result).unionAll(whole.mapInArrow(lean(_apply), result))
