@@ -13,6 +13,9 @@ from logharbor.plans.feature_queries import rounded
 from logharbor.plans.registry import query
 from logharbor.session import shared_dir
 from logharbor.streaming import monitor as M
+from logharbor.streaming.live_alerts import Flush, drain_and_flush, live_alerts
+from logharbor.streaming.outbox import Outbox
+from logharbor.streaming.service_levels import hourly_value_counts, rolling_levels
 
 _WIDE = AlertConfig(anomaly_threshold=2, time_window_minutes=360, throttle_minutes=900)
 
@@ -43,27 +46,29 @@ def stream_alert_windows(spark, sf_dir):
     "stream_alert_throttle",
     views.with_views(
         "logs",
-        """, c AS (SELECT source, time_bucket(INTERVAL 6 HOUR, timestamp)::TIMESTAMP AS window_start, count(*) AS count FROM logs WHERE is_anomaly = 1 GROUP BY ALL),
-w AS (SELECT * FROM c WHERE count >= 2 AND window_start + INTERVAL 370 MINUTE <= (SELECT max(timestamp) FROM logs WHERE is_anomaly = 1)),
+        """, c AS (SELECT source, time_bucket(INTERVAL 6 HOUR, timestamp)::TIMESTAMP AS window_start, count(*) AS count,
+  array_to_string(list_slice(list(coalesce(message, '') ORDER BY timestamp, line_number), 1, 5), ' | ') AS messages FROM logs WHERE is_anomaly = 1 AND timestamp IS NOT NULL GROUP BY ALL),
+w AS (SELECT * FROM c WHERE count >= 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY window_start) AS i FROM w),
 f(source, i, window_start, last_sent, sent) AS (
   SELECT source, i, window_start, window_start, TRUE FROM o WHERE i = 1
   UNION ALL SELECT o.source, o.i, o.window_start, CASE WHEN o.window_start >= f.last_sent + INTERVAL 900 MINUTE THEN o.window_start ELSE f.last_sent END,
     o.window_start >= f.last_sent + INTERVAL 900 MINUTE FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)
-SELECT f.source, f.window_start, w.count FROM f JOIN w ON w.source = f.source AND w.window_start = f.window_start WHERE sent""",
+SELECT f.source, f.window_start, w.count, w.messages FROM f JOIN w ON w.source = f.source AND w.window_start = f.window_start WHERE sent""",
         recursive=True,
     ),
 )
 def stream_alert_throttle(spark, sf_dir):
-    """Closed windows go to a table of candidates; a second stream throttles that table."""
-    candidates, sent = shared_dir(spark, "candidates"), shared_dir(spark, "sent")
-    alerts = M.windowed_alerts(views.scored_log_stream(spark, sf_dir), _WIDE)
-    _drain(alerts, lambda b, n: b.write.mode("overwrite").parquet(f"{candidates}/batch={n}"))
-    schema = "source string, window_start timestamp, count bigint, batch int"
-    stored = spark.readStream.schema(schema).parquet(candidates).drop("batch")
-    _drain(M.throttled_alerts(stored, _WIDE), lambda b, n: b.write.mode("overwrite").parquet(f"{sent}/batch={n}"))
+    """Every alert of the stream with its first messages, those of the last windows included, delivered through an outbox."""
+    sent = shared_dir(spark, "sent")
+    outbox = Outbox(shared_dir(spark, "outbox"), lambda rows: rows.drop("delivery_key").write.mode("append").parquet(sent))
+    flush, progress = Flush(spark), shared_dir(spark, "progress")
+    start = lambda: M.start(live_alerts(views.scored_log_stream(spark, sf_dir), _WIDE, control=flush.stream()), outbox.put, progress)
+    drain_and_flush(start, flush, _WIDE)
+    schema = "source string, window_start timestamp, count bigint, messages array<string>"
+    spark.createDataFrame([], schema).write.mode("append").parquet(sent)
     rows = spark.read.schema(schema).parquet(sent)
-    return rows.select("source", _ntz("window_start"), "count")
+    return rows.select("source", _ntz("window_start"), "count", F.array_join("messages", " | ").alias("messages"))
 
 
 @query(
@@ -141,15 +146,19 @@ def stream_rate_limit(spark, sf_dir):
 
 @query(
     "stream_sla",
-    views.with_views("requests", """, h AS (SELECT unnest([date_trunc('hour', ts) - INTERVAL 1 HOUR * i for i in range(24)]) AS s, * FROM requests)
-SELECT s::TIMESTAMP AS window_start, (s + INTERVAL 24 HOUR)::TIMESTAMP AS window_end, count(*) AS requests, count(*) FILTER (NOT success) AS errors,
-  round(100.0 * count(*) FILTER (success) / count(*), 6) AS availability, round(avg(response_time), 6) AS response_time_avg FROM h GROUP BY s"""),
+    views.with_views("requests", """, h AS (SELECT unnest([date_trunc('hour', ts) - INTERVAL 1 HOUR * i for i in range(24)]) AS s, * FROM requests),
+g AS (SELECT s, count(*) AS requests, count(*) FILTER (NOT success) AS errors, list_sort(list(response_time) FILTER (response_time IS NOT NULL)) AS v, avg(response_time) AS m FROM h GROUP BY s),
+x AS (SELECT *, 100.0 * (requests - errors) / requests AS availability, 100.0 * errors / requests AS error_rate,
+  v[CAST(floor(len(v) * 0.5) AS BIGINT) + 1] AS p50, v[CAST(floor(len(v) * 0.95) AS BIGINT) + 1] AS p95, v[CAST(floor(len(v) * 0.99) AS BIGINT) + 1] AS p99 FROM g)
+SELECT s::TIMESTAMP AS window_start, (s + INTERVAL 24 HOUR)::TIMESTAMP AS window_end, requests, errors,
+  round(availability, 6) AS availability, round(error_rate, 6) AS error_rate, p50 AS response_time_p50, p95 AS response_time_p95, p99 AS response_time_p99, round(m, 6) AS response_time_avg,
+  availability >= 99.9 AS availability_ok, p95 <= 5.0 AS response_time_ok, error_rate <= 0.1 AS error_rate_ok FROM x"""),
 )
 def stream_sla(spark, sf_dir):
-    """Trailing 24 hours, every hour."""
-    folder = shared_dir(spark, "sla")
-    levels = M.rolling_service_levels(views.request_stream(spark, sf_dir))
-    _drain(levels, M.upserting_batches(folder), mode="update")
-    rows = M.latest_update(spark, folder, ["window_start", "window_end"])
+    """Trailing 24 hours, every hour, from the hourly counts of response times a stream keeps up to date."""
+    folder = shared_dir(spark, "value-counts")
+    counts = hourly_value_counts(views.request_stream(spark, sf_dir))
+    _drain(counts, M.upserting_batches(folder), mode="update")
+    rows = rolling_levels(M.latest_update(spark, folder, ["hour", "response_time"]))
     rows = rows.withColumn("window_start", _ntz("window_start")).withColumn("window_end", _ntz("window_end"))
-    return rounded(rows, "availability", "response_time_avg")
+    return rounded(rows, "availability", "error_rate", "response_time_avg")
