@@ -6,12 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logharbor.functions.stats import exact_quantiles
 from logharbor.functions.vectors import distinct_vectors, summed_over, weighted_moments
+from logharbor.operators.bundle import load_bundle, save_bundle
 from logharbor.session import durable
 
+_FITTED = ("mean", "sigma", "w_in", "b_in", "w_out", "b_out")
+
 FEATURES = ("message_length", "severity_score", "hour", "day_of_week", "word_count", "char_diversity")
 
 
@@ -69,6 +72,20 @@ class Autoencoder:
         )[0]
         return self
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        about = {n: getattr(self, n) for n in ("features", "epochs", "learning_rate", "quantile", "seed", "threshold", "losses")}
+        save_bundle(spark, path, "autoencoder", about, {n: getattr(self, n) for n in _FITTED})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Autoencoder":
+        about, arrays, _ = load_bundle(spark, path, "autoencoder")
+        threshold, losses = about.pop("threshold"), about.pop("losses")
+        model = cls(**about)
+        model.threshold, model.losses = threshold, losses
+        for name in _FITTED:
+            setattr(model, name, arrays[name])
+        return model
+
     def scored(self, df: DataFrame) -> DataFrame:
         state = self
 

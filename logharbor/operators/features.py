@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from logharbor import constants as K
 from logharbor.functions import text as X
-from logharbor.functions.ordering import centred_counts, micros_between, salted_lookup, with_previous
+from logharbor.functions.ordering import centred_counts, micros_between, running_total, salted_lookup, with_previous
+from logharbor.session import durable
 
 ROW_KEY = ("source", "line_number")
 
@@ -144,20 +146,23 @@ def with_csv_enrichment(df: DataFrame) -> DataFrame:
     )
 
 
-def known_levels(df: DataFrame, most: int = 1000) -> list[str]:
-    """The ``most`` most frequent upper-cased levels, ties by name, in the order of their names.
+def level_table(df: DataFrame) -> DataFrame:
+    """Every upper-cased level once: ``level_name``, its ``level_index`` (0, 1, ... in order of the names) and its rows ``n``."""
+    counts = df.select(F.upper("level").alias("level_name")).where("level_name IS NOT NULL").groupBy("level_name").agg(F.count(F.lit(1)).alias("n"))
+    numbered = running_total(durable(counts.withColumn("_one", F.lit(1))), order="level_name", amount="_one", output="_upto")
+    return durable(numbered.select("level_name", (F.col("_upto") - 1).cast("bigint").alias("level_index"), "n"))
 
-    ``most`` is the size of the vocabulary, as for words; rarer levels get no column of
-    their own."""
-    found = df.select(F.upper("level").alias("l")).where("l IS NOT NULL").groupBy("l").count()
-    return sorted(row["l"] for row in found.orderBy(F.desc("count"), "l").limit(most).collect())
 
+def with_level_index(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Adds ``level_index`` from a table of levels, by default that of ``df``; null for a null level or one that is not in
+    the table. However many levels there are, each has an index of its own."""
+    table = level_table(df) if table is None else table
+    rows = df.withColumn("level_name", F.upper("level"))
+    return salted_lookup(rows, table.select("level_name", "level_index", "n"), ["level_name"], "n", ROW_KEY).drop("level_name")
 
-def level_one_hot(df: DataFrame, levels: list[str] | None = None) -> DataFrame:
-    """One 0/1 column per upper-cased level of ``levels``, by default the known ones. A level
-    without a column is a row of zeros."""
-    if levels is None:
-        levels = known_levels(df)
+
+def level_one_hot(df: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """One 0/1 column for each of the named upper-cased levels; ``with_level_index`` tells all levels apart."""
     upper = F.upper("level")
     return df.select(
         "*", *[F.coalesce((upper == lv).cast("int"), F.lit(0)).alias(f"level_{lv}") for lv in levels]
@@ -175,7 +180,8 @@ def with_time_diff(df: DataFrame, block: int | None = None) -> DataFrame:
 
 def with_log_frequency(df: DataFrame, half_seconds: int = 150) -> DataFrame:
     """Number of rows within ± ``half_seconds``, the row itself included; 0 without a time."""
-    counts = centred_counts(df, "timestamp", half_seconds, "log_frequency_5min")
+    # Read three times by the lookup.
+    counts = durable(centred_counts(df, "timestamp", half_seconds, "log_frequency_5min"))
     rows = salted_lookup(df, counts, ["timestamp"], "n", ROW_KEY)
     filled = F.coalesce(F.col("log_frequency_5min"), F.lit(0)).cast("bigint")
     return rows.withColumn("log_frequency_5min", filled)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, IDF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from logharbor import constants as K
 from logharbor.functions import text as X
 from logharbor.functions.stats import kth_smallest
+from logharbor.operators.bundle import load_bundle, save_bundle
 from logharbor.operators.features import with_error_keywords
 from logharbor.operators.tfidf import tokens
 from logharbor.session import durable, shared_dir
@@ -196,6 +197,21 @@ class GradientBoostingSearch:
             F.col("prediction").cast("int").alias("is_anomaly"),
         )
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        if self.best_model is None:
+            raise ValueError("fit the search first")
+        about = {"features": self.features, "label": self.label, "best_params": self.best_params, "history": self.history}
+        save_bundle(spark, path, "boosted_trees", about)
+        self.best_model.write().overwrite().save(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "GradientBoostingSearch":
+        about, _, _ = load_bundle(spark, path, "boosted_trees")
+        search = cls(about["features"], about["label"])
+        search.best_params, search.history = about["best_params"], [tuple(h) for h in about["history"]]
+        search.best_model = GBTClassificationModel.load(f"{path}/model")
+        return search
+
 
 def refit_with_feedback(
     df: DataFrame, feedback: DataFrame, features: list[str], key: list[str],

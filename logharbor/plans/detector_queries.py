@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from logharbor.functions import vectors as V
 from logharbor.functions.stats import fitted, profile, standard_scaled
@@ -11,7 +11,7 @@ from logharbor.operators import features as E
 from logharbor.operators.autoencoder import Autoencoder
 from logharbor.operators.density import detect_density
 from logharbor.operators.isolation_forest import IsolationForest
-from logharbor.operators.neighbours import local_outlier_factor
+from logharbor.operators.neighbours import exact_for, local_outlier_factor
 from logharbor.operators.nlp import detect_nlp
 from logharbor.operators.one_class import OneClassSVM
 from logharbor.operators.sequence import detect_sequences
@@ -346,21 +346,68 @@ def feedback_refit(spark, sf_dir):
 
 @query("detect_general")
 def general(spark, sf_dir):
-    """All features, reduction, scaling and an isolation forest."""
-    from logharbor.config import DetectorConfig
+    """All features, reduction, scaling and an isolation forest, at the defaults of the detector."""
     from logharbor.operators.detector import AnomalyDetector
 
-    config = DetectorConfig(max_features=200, n_components=10, n_estimators=50)
-    found = AnomalyDetector(config).fit_transform(views.app_logs(spark, sf_dir))
+    found = AnomalyDetector().fit_transform(views.app_logs(spark, sf_dir))
     return rounded(found.select(*FLAGS, "confidence"), "anomaly_score", "confidence")
 
 
 @query("detect_vote")
 def vote(spark, sf_dir):
-    """Isolation forest, one-class SVM and local outlier factor on all features, two of three."""
+    """Isolation forest, one-class SVM and local outlier factor on all features, two of three, at the defaults."""
     from logharbor.config import DetectorConfig
     from logharbor.operators.detector import AnomalyDetector
 
-    config = DetectorConfig(algorithm="ensemble", max_features=100, n_components=6, n_estimators=25)
-    found = AnomalyDetector(config).fit_transform(views.app_logs(spark, sf_dir))
+    found = AnomalyDetector(DetectorConfig(algorithm="ensemble")).fit_transform(views.app_logs(spark, sf_dir))
     return rounded(found.select(*FLAGS, "confidence"), "anomaly_score", "confidence")
+
+
+@query("detect_core")
+def core(spark, sf_dir):
+    """Length, a hundred terms, severity and clock, standard scaled, and an isolation forest."""
+    from logharbor.operators.detector import CoreDetector
+
+    found = CoreDetector(contamination=0.05).fit_transform(views.app_logs(spark, sf_dir))
+    return rounded(found.select(*FLAGS), "anomaly_score")
+
+
+def _term_vectors(spark, sf_dir):
+    """Log rows as sparse unit vectors of at most 5,000 terms, and the number of terms."""
+    from logharbor.operators.term_space import TermSpace
+    from logharbor.operators.tfidf import tokens, with_bigrams
+    from logharbor.session import durable
+
+    rows = views.app_logs(spark, sf_dir).select(*KEY, with_bigrams(tokens(F.coalesce("message", F.lit("")))).alias("terms"))
+    rows = durable(rows)
+    space = TermSpace(5000, min_df=2, max_df=0.95).fit(rows)
+    return durable(rows.withColumn("_v", space.vectors(rows)).select(*KEY, "_v.idx", "_v.val")), space.size
+
+
+@query("reduce_terms")
+def reduce_terms(spark, sf_dir):
+    """Fifty principal components of up to 5,000 terms: variance of each and the share of all variance up to it."""
+    from logharbor.operators.reduction import PrincipalComponents, total_variance
+
+    vectors, size = _term_vectors(spark, sf_dir)
+    fitted_ = PrincipalComponents(size, 50).fit(vectors)
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(fitted_.variance)], "component int, variance double")
+    shares = rows.crossJoin(F.broadcast(vectors.select(total_variance(vectors).alias("total")).limit(1)))  # fifty rows, one number
+    upto = F.sum("variance").over(W.orderBy("component"))
+    return rounded(shares.select("component", "variance", (upto / F.col("total")).alias("share")), "variance", "share")
+
+
+@query("neighbours_recall")
+def neighbours_recall(spark, sf_dir):
+    """Twenty neighbours by random projections of all embeddings, held against the exact ones of every twentieth."""
+    from logharbor.operators.neighbours import projected_neighbours, weighted_points
+
+    rows = views.table(spark, sf_dir, "embeddings")
+    points = weighted_points(rows, "vec_id", "embedding")
+    found = projected_neighbours(points, 20).select("gid", F.explode("neighbours").alias("e")).select("gid", F.col("e.gid").alias("other"))
+    some = points.where("gid % 20 = 0").select("gid", "vec")
+    exact = exact_for(some, points, 20)
+    met = exact.join(found, ["gid", "other"], "left_semi").agg(F.count(F.lit(1)).alias("met"))
+    wanted = exact.agg(F.count(F.lit(1)).alias("wanted"))
+    both = met.select("met", wanted.scalar().alias("wanted"))
+    return both.select("wanted", (F.col("met") >= 0.9 * F.col("wanted")).alias("recall_reached"))

@@ -24,6 +24,12 @@ def sql(body: str, views_needed: str = "app_logs") -> str:
     return views.with_views(views_needed, body)
 
 
+def _stop_list() -> str:
+    from logharbor.stopwords import ENGLISH
+
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH) + "]"
+
+
 SEVERITY_CORE = """CASE upper(level) WHEN 'CRITICAL' THEN 5 WHEN 'ERROR' THEN 4 WHEN 'WARN' THEN 3
   WHEN 'WARNING' THEN 3 WHEN 'INFO' THEN 2 WHEN 'DEBUG' THEN 1 ELSE 0 END"""
 WORDS = r"len(regexp_extract_all(message, '\S+'))"
@@ -158,7 +164,34 @@ def features_text_shape(spark, sf_dir):
     ) + " FROM app_logs"),
 )
 def level_onehot(spark, sf_dir):
-    return E.level_one_hot(views.app_logs(spark, sf_dir)).drop("timestamp", "level", "message")
+    named = ("CRITICAL", "DEBUG", "ERROR", "INFO", "WARN", "WARNING")
+    return E.level_one_hot(views.app_logs(spark, sf_dir), named).drop("timestamp", "level", "message")
+
+
+@query(
+    "level_index",
+    sql("SELECT source, line_number, dense_rank() OVER (ORDER BY upper(level)) - 1 AS level_index FROM app_logs WHERE level IS NOT NULL"),
+)
+def level_index(spark, sf_dir):
+    """All levels told apart, however many there are."""
+    rows = E.with_level_index(views.app_logs(spark, sf_dir).where("level IS NOT NULL"))
+    return rows.select("source", "line_number", "level_index")
+
+
+@query(
+    "hashed_terms",
+    sql(r""", tk AS (SELECT source, line_number, unnest(list_filter(regexp_extract_all(lower(message), '\b\w\w+\b'), lambda x: NOT list_contains(""" + _stop_list() + """, x))) AS term FROM app_logs),
+hs AS (SELECT source, line_number, CAST(CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 5000 AS INT) AS idx, CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1 ELSE -1 END AS sign FROM tk),
+sm AS (SELECT source, line_number, idx, sum(sign) AS total FROM hs GROUP BY ALL HAVING sum(sign) <> 0)
+SELECT source, line_number, idx, round(total / sqrt(sum(total * total) OVER (PARTITION BY source, line_number)), 6) AS value FROM sm"""),
+)
+def hashed(spark, sf_dir):
+    """Signed feature hashing without a vocabulary."""
+    from logharbor.operators.term_space import hashed_terms
+    from logharbor.operators.tfidf import tokens
+
+    rows = views.app_logs(spark, sf_dir).withColumn("terms", tokens(F.coalesce("message", F.lit(""))))
+    return rounded(hashed_terms(rows, ["source", "line_number"], "terms"), "value")
 
 
 @query(
@@ -181,12 +214,6 @@ def log_frequency_5min(spark, sf_dir):
     return rows.select(*KEY, "log_frequency_5min")
 
 
-def _stop_list() -> str:
-    from logharbor.stopwords import ENGLISH
-
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH) + "]"
-
-
 def tfidf_cte(text: str, max_features: int, bigrams: bool, min_df: int = 1, max_df: float = 1.0) -> str:
     """CTEs ``terms`` (key, term, tf), ``vocabulary`` and ``weights`` over ``app_logs``."""
     both = "list_concat(ws, [ws[i] || ' ' || ws[i+1] for i in range(1, len(ws))])" if bigrams else "ws"

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from logharbor.operators import features as E
+from logharbor.operators.autoencoder import Autoencoder
+from logharbor.operators.detector import AnomalyDetector
 from logharbor.operators.isolation_forest import IsolationForest, IsolationForestModel
+from logharbor.operators.one_class import OneClassSVM
 from logharbor.operators.parsing import LogParser
 from logharbor.operators.statistical import detect_statistical
-from logharbor.operators.supervised import RandomForestDetector
+from logharbor.operators.supervised import GradientBoostingSearch, RandomForestDetector
 from logharbor.plans import views
 from logharbor.plans.registry import query
 from logharbor.session import shared_dir
@@ -111,7 +114,46 @@ def reload_isolation_forest(spark, sf_dir):
 @query("reload_random_forest", _SAME)
 def reload_random_forest(spark, sf_dir):
     logs = views.app_logs(spark, sf_dir)
-    detector = RandomForestDetector(n_estimators=20, max_depth=5).fit(logs)
+    detector = RandomForestDetector().fit(logs)
     path = shared_dir(spark, "random-forest")
     detector.save(path)
     return _differing(detector.transform(logs), RandomForestDetector().load(path).transform(logs))
+
+
+@query("reload_one_class_svm", _SAME)
+def reload_one_class_svm(spark, sf_dir):
+    rows = E.with_basic_features(views.app_logs(spark, sf_dir))
+    model = OneClassSVM(["message_length", "severity_score", "hour"]).fit(rows)
+    path = shared_dir(spark, "machine")
+    model.save(spark, path)
+    return _differing(model.transform(rows), OneClassSVM.load(spark, path).transform(rows))
+
+
+@query("reload_autoencoder", _SAME)
+def reload_autoencoder(spark, sf_dir):
+    rows = E.with_text_shape(views.app_logs(spark, sf_dir))
+    model = Autoencoder().fit(rows)
+    path = shared_dir(spark, "autoencoder")
+    model.save(spark, path)
+    return _differing(model.transform(rows), Autoencoder.load(spark, path).transform(rows))
+
+
+@query("reload_boosted_trees", _SAME)
+def reload_boosted_trees(spark, sf_dir):
+    names = ["message_length", "word_count", "hour"]
+    rows = E.with_basic_features(views.scored_logs(spark, sf_dir).drop("anomaly_score")).withColumn("label", F.col("is_anomaly").cast("double")).drop("is_anomaly")
+    search = GradientBoostingSearch(names, "label", trials=1, folds=2, estimators=(5, 5), depth=(3, 3)).fit(rows)
+    path = shared_dir(spark, "boosted")
+    search.save(spark, path)
+    return _differing(search.transform(rows), GradientBoostingSearch.load(spark, path).transform(rows))
+
+
+@query("reload_general_detector", _SAME)
+def reload_general_detector(spark, sf_dir):
+    """Vocabulary, levels, components, scales and forest."""
+    logs = views.app_logs(spark, sf_dir)
+    detector = AnomalyDetector()
+    detector.fit_transform(logs)
+    path = shared_dir(spark, "general")
+    detector.save(spark, path)
+    return _differing(detector.transform(logs), AnomalyDetector.load(spark, path).transform(logs))

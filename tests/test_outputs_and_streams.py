@@ -211,11 +211,20 @@ def test_service_levels_use_all_requests(spark):
 
 
 def test_thousands_of_levels(spark):
-    from logharbor.operators.features import known_levels, level_one_hot
+    """Two thousand levels, one of them with a third of all rows, are all told apart; wide columns are for named ones."""
+    from logharbor.operators.features import level_one_hot, level_table, with_level_index
 
-    rows = spark.range(4_000).selectExpr("id AS line_number", "concat('L', id % 2000) AS level")
-    assert len(known_levels(rows)) == 1000
-    assert len(level_one_hot(rows).columns) == 1002
+    rows = spark.range(6_000).selectExpr(
+        "'s' AS source", "id AS line_number", "CASE WHEN id < 2000 THEN 'info' WHEN id = 5999 THEN NULL ELSE concat('L', id % 2000) END AS level"
+    )
+    found = with_level_index(rows).groupBy(F.upper("level").alias("l")).agg(F.count_distinct("level_index").alias("d"), F.min("level_index").alias("i")).collect()
+    named = {r["l"]: (r["d"], r["i"]) for r in found}
+    assert named.pop(None) == (0, None)
+    assert sorted(i for _, i in named.values()) == list(range(2001)) and {d for d, _ in named.values()} == {1}
+    assert [named[n][1] for n in sorted(named)] == list(range(2001))
+    assert level_table(rows).count() == 2001
+    wide = level_one_hot(rows, ["INFO", "L7"])
+    assert wide.columns[-2:] == ["level_INFO", "level_L7"] and wide.agg(F.sum("level_INFO")).first()[0] == 2000
 
 
 def test_format_ties_go_to_the_first_name(spark):
