@@ -14,6 +14,7 @@ from logharbor.plans.registry import query
 from logharbor.session import shared_dir
 from logharbor.streaming import monitor as M
 from logharbor.streaming.live_alerts import Flush, drain_and_flush, live_alerts
+from logharbor.streaming.newest import NewestRows, newest_rows
 from logharbor.streaming.outbox import Outbox
 from logharbor.streaming.service_levels import hourly_value_counts, rolling_levels
 
@@ -92,6 +93,24 @@ def _log_files(spark, sf_dir, files):
     return spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+_NEWEST = """SELECT source, line_number, level, message FROM app_logs
+QUALIFY row_number() OVER (PARTITION BY source, level ORDER BY timestamp DESC NULLS LAST, line_number DESC) <= 5"""
+
+
+@query("newest_rows", views.with_views("app_logs", _NEWEST))
+def newest(spark, sf_dir):
+    """The five newest rows of each source and level."""
+    return newest_rows(views.app_logs(spark, sf_dir), ["source", "level"], 5).select("source", "line_number", "level", "message")
+
+
+@query("stream_newest_rows", views.with_views("app_logs", _NEWEST))
+def stream_newest(spark, sf_dir):
+    """The same, kept up to date over four micro-batches."""
+    keep = NewestRows(shared_dir(spark, "newest"), ["source", "level"], 5)
+    _drain(_log_files(spark, sf_dir, 4), keep)
+    return keep.rows(spark).select("source", "line_number", "level", "message")
+
+
 @query(
     "stream_refit_batches",
     "SELECT count(*) AS rows, count(DISTINCT event_id) AS different, 4 AS batches, 1 AS unscored FROM events",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from logharbor import constants as K
+from logharbor.session import durable
 
 _PATH, _BLOCK = "_metadata.file_path", "_metadata.file_block_start"
 
@@ -37,15 +38,18 @@ def read_log_lines(
 def number_lines(raw: DataFrame) -> DataFrame:
     """Numbers the rows ``source, block_start, line`` of whole files, in the order in which they are read.
 
-    Also for a micro-batch of followed files, which arrive whole.
+    Also for a micro-batch of followed files, which arrive whole. A row's place in its scan is known without moving it; a
+    light scan without the text tells, for each block of a file, how many lines came before and where in the scan it
+    begins. That table has a row for each block; the lines meet it where they are read, unless it is too large
+    for Spark to broadcast.
     """
-    counts = raw.groupBy("source", "block_start").agg(F.count(F.lit(1)).alias("_n"))
+    placed = raw.withColumn("_order", F.monotonically_increasing_id())
+    counts = placed.groupBy("source", "block_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_first"))
     before = W.partitionBy("source").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("source", "block_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    in_block = W.partitionBy("source", "block_start").orderBy("_order")
-    numbered = raw.withColumn("_order", F.monotonically_increasing_id()).withColumn("_row", F.row_number().over(in_block))
-    return numbered.join(offsets, ["source", "block_start"]).select(
-        "source", (F.col("_row") + F.col("_offset")).cast("bigint").alias("line_number"), "line"
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    blocks = durable(counts.select("source", "block_start", (offset - F.col("_first") + 1).alias("_shift")))
+    return placed.join(blocks, ["source", "block_start"]).select(
+        "source", (F.col("_order") + F.col("_shift")).cast("bigint").alias("line_number"), "line"
     )
 
 
@@ -78,11 +82,9 @@ def read_admitted(
     extensions: Sequence[str] = K.ALLOWED_EXTENSIONS,
     max_bytes: int | None = None,
 ) -> DataFrame:
-    """Lines of the files that pass the audit; the conditions prune files before reading.
-    Files of any size are read unless a limit is given."""
-    names = "*.{" + ",".join(extensions) + "}"
-    path = F.col(_PATH)
-    rows = _lines(spark, paths, names)
+    """Rows ``source, line_number, line`` of the files that pass the audit; the conditions prune files before
+    reading. Files of any size are read unless a limit is given."""
+    rows = _lines(spark, paths, "*.{" + ",".join(extensions) + "}")
     if max_bytes is not None:
         rows = rows.where(F.col("_metadata.file_size") <= max_bytes)
-    return rows.select(path.alias("source"), F.make_valid_utf8("value").alias("line"))
+    return number_lines(rows.select(F.col(_PATH).alias("source"), F.col(_BLOCK).alias("block_start"), F.make_valid_utf8("value").alias("line")))

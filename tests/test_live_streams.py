@@ -106,3 +106,26 @@ def test_rolling_levels_against_sorted_lists(spark):
         assert row["requests"] == len(inside) and row["errors"] == sum(not ok for _, _, ok in inside)
         assert row["response_time_ok"] == (want[1] <= 5.0)
     assert rolling_levels(counts.limit(0)).count() == 0
+
+
+def test_newest_rows_survive_repeats_and_restarts(spark, tmp_path):
+    from logharbor.streaming.newest import NewestRows, newest_rows
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", None, "b"]), i, rng.choice([None, i % 50]), f"m{i}") for i in range(400)]
+    schema = "source string, line_number long, timestamp long, message string"
+    whole = spark.createDataFrame(rows, schema)
+    expected = sorted(map(str, newest_rows(whole, ["source"], 7).collect()))
+    plain = {}
+    for r in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[1]), reverse=True):
+        plain.setdefault(r[0], []).append(r[1])
+    assert len(expected) == sum(min(7, len(v)) for v in plain.values())
+    assert {r["line_number"] for r in newest_rows(whole, ["source"], 7).collect()} == {i for v in plain.values() for i in v[:7]}
+    for number, low in enumerate(range(0, 400, 100)):
+        batch = spark.createDataFrame(rows[low : low + 100], schema)
+        keep = NewestRows(str(tmp_path), ["source"], 7)  # a new process each time
+        keep(batch, number)
+        keep(batch, number)  # and each batch twice
+    assert sorted(map(str, keep.rows(spark).collect())) == expected
+    with pytest.raises(ValueError):
+        NewestRows(str(tmp_path / "none"), ["source"], 7).rows(spark)
