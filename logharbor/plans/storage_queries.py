@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from logharbor.operators import features as E
 from logharbor.operators.autoencoder import Autoencoder
@@ -14,6 +15,7 @@ from logharbor.operators.statistical import detect_statistical
 from logharbor.operators.supervised import GradientBoostingSearch, RandomForestDetector
 from logharbor.plans import views
 from logharbor.plans.registry import query
+from logharbor.plugins import LineParser, RowFormat, register_format, register_parser
 from logharbor.session import shared_dir
 from logharbor.sources import sinks
 from logharbor.sources.text import admission_audit, read_admitted
@@ -157,3 +159,34 @@ def reload_general_detector(spark, sf_dir):
     path = shared_dir(spark, "general")
     detector.save(spark, path)
     return _differing(detector.transform(logs), AnomalyDetector.load(spark, path).transform(logs))
+
+
+class _Pipes(RowFormat):
+    """Fields between bars, as an example of a format of one's own."""
+
+    name = "piped"
+
+    def line(self, row):
+        return "|".join("" if v is None else str(v) for v in row)
+
+
+class _PipedLines(LineParser):
+    schema = StructType().add("line_number", "long").add("level", "string").add("message", "string").add("source", "string").add("is_anomaly", "integer")
+
+    def parse_line(self, line):
+        parts = line.split("|")
+        if len(parts) < 5:
+            return None
+        number, level, *message, source, flag = parts
+        return {"line_number": int(number), "level": level or None, "message": "|".join(message) or None, "source": source or None, "is_anomaly": int(flag)}
+
+
+@query("own_format", _ROWS)
+def own_format(spark, sf_dir):
+    """Rows written by a format of one's own and read back by a parser of one's own, as a table function in SQL."""
+    path = shared_dir(spark, "piped")
+    register_format(spark, _Pipes())
+    _selected(views.scored_logs(spark, sf_dir)).write.format("piped").mode("append").save(path)
+    register_parser(spark, "piped_fields", _PipedLines())
+    lines = spark.read.text(path)
+    return spark.sql("SELECT f.* FROM {lines}, LATERAL piped_fields(value) AS f", lines=lines)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -18,6 +19,7 @@ def make_session():
         "logharbor-tests",
         **{
             "spark.sql.shuffle.partitions": "8",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="logharbor-tests-"),
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false",
@@ -29,7 +31,11 @@ def make_session():
 
 @pytest.fixture(scope="session")
 def spark():
-    return make_session()
+    from logharbor.session import clear_shared
+
+    session = make_session()
+    yield session
+    clear_shared(session)
 
 
 @pytest.fixture
