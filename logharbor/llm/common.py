@@ -44,14 +44,19 @@ def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with the GNU library only
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Hands free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with the GNU library only
+    if trim:
+        trim(0)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, row by row; a null text is an empty one."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -271,8 +276,10 @@ class IdMap:
         bit = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {_MAP_BITS}) % 32 AS INT))")
         words = ids.select(F.col("doc_id").cast("long").alias("doc_id")).select((place / 32).cast("int").alias("word"), bit.alias("bit"))
         bits = np.zeros(_MAP_BITS // 32, np.int64)
-        for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most _MAP_BITS / 32 rows
-            bits[row["word"]] = row["bits"]
+        found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most _MAP_BITS / 32 rows
+        bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        del found
+        give_back()
         self._bits = ids.sparkSession.sparkContext.broadcast(bits)
 
     def split(self, docs: DataFrame, inside: bool) -> DataFrame:

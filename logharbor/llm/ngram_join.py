@@ -39,6 +39,7 @@ from logharbor.llm.common import (
     LOWER,
     IdMap,
     buffers,
+    give_back,
     kept,
     lean,
     mixed_bits,
@@ -168,7 +169,10 @@ def common_numbers(rows: DataFrame, words: int, most: int) -> tuple[np.ndarray,
     top = kept(seen.orderBy(F.desc("times"), "gram").limit(most), "common").toArrow()
     grams, times = top.column("gram").to_numpy().view(_U), top.column("times").to_numpy()
     order = np.argsort(grams)
-    return grams[order], times[order]
+    found = grams[order], times[order]
+    del top, grams, times
+    give_back()
+    return found
 
 
 def rare_keys(grams: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -484,7 +488,6 @@ def _open_tiles(placed: DataFrame, labels: DataFrame, pairs: DataFrame, members:
     blocks = held.groupBy("key", "block").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")
     )
-    blocks = kept(blocks, "blocks")
     if nearest:
         order = Window.partitionBy("key").orderBy("block")  # one row for each block
         after = lambda c: F.lead(c).over(order).alias(f"{c}_y")
