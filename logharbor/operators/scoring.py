@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logharbor.config import check_contamination
 from logharbor.functions.stats import EPSILON, as_scalar, exact_quantiles, fitted
@@ -105,6 +105,15 @@ def without_detection(df: DataFrame, with_confidence: bool = False) -> DataFrame
     return rows.withColumn("confidence", F.lit(1.0)) if with_confidence else rows
 
 
+def importance_table(spark: SparkSession, models: dict[str, object]) -> DataFrame:
+    """``model, feature, importance, place`` of fitted models, the most important feature of each first, ties by name."""
+    rows = []
+    for name, model in models.items():
+        ordered = sorted(model.feature_importance().items(), key=lambda p: (-p[1], p[0]))
+        rows += [(name, feature, float(value), place) for place, (feature, value) in enumerate(ordered, 1)]
+    return spark.createDataFrame(rows, "model string, feature string, importance double, place int")
+
+
 def explain_rows(df: DataFrame) -> DataFrame:
     """A label per row and the size of its decision value."""
     return df.select(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, IDF, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,6 +18,7 @@ from logharbor.functions import text as X
 from logharbor.functions.stats import kth_smallest
 from logharbor.operators.bundle import load_bundle, save_bundle
 from logharbor.operators.features import with_error_keywords
+from logharbor.operators.scoring import importance_table
 from logharbor.operators.tfidf import tokens
 from logharbor.session import durable, shared_dir
 
@@ -102,16 +104,21 @@ class RandomForestDetector:
         rows = balanced_weights(heuristic_labels(self.features(df), self.contamination))
         # The stages read the rows again and again: keep what they need.
         rows = durable(rows.select("_tokens", *self.numeric, "label", "weight"))
-        stages = [
-            CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=self.terms),
-            IDF(inputCol="_tf", outputCol="_tfidf"),
+        counter = CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=self.terms).fit(rows)
+        idf = IDF(inputCol="_tf", outputCol="_raw").fit(counter.transform(rows)).idf.toArray()
+        fixed = [
+            counter,
+            # A term that is in every row keeps the weight of its count: idf + 1, then unit length.
+            ElementwiseProduct(scalingVec=Vectors.dense(idf + 1.0), inputCol="_tf", outputCol="_raw"),
+            Normalizer(inputCol="_raw", outputCol="_tfidf"),
             VectorAssembler(inputCols=[*self.numeric, "_tfidf"], outputCol="_features"),
-            RandomForestClassifier(
-                featuresCol="_features", labelCol="label", weightCol="weight",
-                numTrees=self.n_estimators, maxDepth=self.max_depth, seed=self.seed,
-            ),
         ]
-        self.model = _stored(Pipeline(stages=stages).fit(rows), df.sparkSession)
+        forest = RandomForestClassifier(
+            featuresCol="_features", labelCol="label", weightCol="weight",
+            numTrees=self.n_estimators, maxDepth=self.max_depth, seed=self.seed,
+        )
+        trees = forest.fit(PipelineModel(fixed).transform(rows))
+        self.model = _stored(PipelineModel([*fixed, trees]), df.sparkSession)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -131,9 +138,8 @@ class RandomForestDetector:
         names = [*self.numeric, *[f"text_{w}" for w in words]]
         return dict(zip(names, (float(v) for v in self.model.stages[-1].featureImportances.toArray())))
 
-    def importance_table(self, spark) -> DataFrame:
-        pairs = sorted(self.feature_importance().items(), key=lambda p: (-p[1], p[0]))
-        return spark.createDataFrame(pairs, "feature string, importance double")
+    def importance_table(self, spark: SparkSession) -> DataFrame:
+        return importance_table(spark, {"random_forest": self}).select("feature", "importance")
 
     def save(self, path: str) -> None:
         if self.model is None:

@@ -363,6 +363,18 @@ def vote(spark, sf_dir):
     return rounded(found.select(*FLAGS, "confidence"), "anomaly_score", "confidence")
 
 
+@query("feature_importances")
+def feature_importances(spark, sf_dir):
+    """Share of splits of an isolation forest, weights of an autoencoder, gains of a random forest."""
+    logs = views.app_logs(spark, sf_dir)
+    models = {
+        "isolation_forest": IsolationForest(_FOREST, contamination=0.05).fit(E.with_basic_features(logs)),
+        "autoencoder": Autoencoder().fit(E.with_text_shape(logs)),
+        "random_forest": RandomForestDetector().fit(logs),
+    }
+    return rounded(Z.importance_table(spark, models), "importance")
+
+
 @query("detect_core")
 def core(spark, sf_dir):
     """Length, a hundred terms, severity and clock, standard scaled, and an isolation forest."""
