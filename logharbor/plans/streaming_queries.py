@@ -166,7 +166,7 @@ def stream_rate_limit(spark, sf_dir):
 @query(
     "stream_sla",
     views.with_views("requests", """, h AS (SELECT unnest([date_trunc('hour', ts) - INTERVAL 1 HOUR * i for i in range(24)]) AS s, * FROM requests),
-g AS (SELECT s, count(*) AS requests, count(*) FILTER (NOT success) AS errors, list_sort(list(response_time) FILTER (response_time IS NOT NULL)) AS v, avg(response_time) AS m FROM h GROUP BY s),
+g AS (SELECT s, count(*) AS requests, count(*) FILTER (NOT success) AS errors, list_sort(list(response_time) FILTER (response_time IS NOT NULL)) AS v, CAST(sum(CAST(response_time AS DECIMAL(24,9))) AS DOUBLE) / count(response_time) AS m FROM h GROUP BY s),
 x AS (SELECT *, 100.0 * (requests - errors) / requests AS availability, 100.0 * errors / requests AS error_rate,
   v[CAST(floor(len(v) * 0.5) AS BIGINT) + 1] AS p50, v[CAST(floor(len(v) * 0.95) AS BIGINT) + 1] AS p95, v[CAST(floor(len(v) * 0.99) AS BIGINT) + 1] AS p99 FROM g)
 SELECT s::TIMESTAMP AS window_start, (s + INTERVAL 24 HOUR)::TIMESTAMP AS window_end, requests, errors,

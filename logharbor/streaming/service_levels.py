@@ -24,6 +24,13 @@ def hourly_value_counts(requests: DataFrame, delay: str = "10 minutes") -> DataF
     )
 
 
+def _total():
+    """Sum of all response times, exact to nine decimals while they are below 10^15, so its order does not matter."""
+    exact = F.sum(F.col("response_time").try_cast("decimal(24,9)") * F.col("requests").cast("decimal(10,0)")).cast("double")
+    rough = F.sum(F.col("response_time") * F.col("requests"))
+    return F.when(F.max(F.abs("response_time")) < 1e15, exact).otherwise(rough)
+
+
 def rolling_levels(counts: DataFrame, hours: int = 24, targets: dict[str, float] = K.SLA_TARGETS) -> DataFrame:
     """Levels of every window of ``hours`` hours that holds a request, one window for each hour, from hourly counts.
 
@@ -36,7 +43,7 @@ def rolling_levels(counts: DataFrame, hours: int = 24, targets: dict[str, float]
     totals = spread.groupBy("window_start").agg(
         F.sum("requests").alias("requests"), F.sum("errors").alias("errors"),
         F.sum(F.when(F.col("response_time").isNotNull(), F.col("requests"))).alias("timed"),
-        (F.sum(F.col("response_time") * F.col("requests")) / F.sum(F.when(F.col("response_time").isNotNull(), F.col("requests")))).alias("response_time_avg"),
+        (_total() / F.sum(F.when(F.col("response_time").isNotNull(), F.col("requests")))).alias("response_time_avg"),
     )
     totals = durable(totals)
     timed = counts.where("response_time IS NOT NULL AND NOT isnan(response_time)")
