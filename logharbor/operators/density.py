@@ -1,10 +1,11 @@
-"""Density clustering (DBSCAN) on a few numeric features, exact, over a grid of cells.
+"""Density clustering (DBSCAN) on a few numeric features and, if wanted, a text; exact, over a grid of cells.
 
 The cell diagonal equals ``eps``: points of one cell are neighbours of each other. A cell
 with enough rows therefore consists of core points without any comparison, and clusters
 are connected components of cells. Distances are only computed between points of nearly
 empty cells and their surroundings, and between cells whose boxes leave it open whether
-they touch. Equal points are one weighted point.
+they touch. Equal points are one weighted point. With a text, a cell holds points of one term
+vector, and ``near_vectors`` says which vectors are close enough and how much of ``eps`` they leave.
 """
 
 from __future__ import annotations
@@ -15,10 +16,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logharbor.functions.ordering import salted_lookup
+from logharbor.functions.stats import fitted, profile, standard_scaled
+from logharbor.functions.text import severity
+from logharbor.operators.near_texts import box, near_vectors, rarest_first
+from logharbor.operators.term_space import TermSpace
+from logharbor.operators.tfidf import tokens
 from logharbor.session import durable
 
 #: Coordinates whose near positions are listed; cells that agree there are compared on the others.
 _LISTED = 4
+#: The same between points whose texts are already known to be near.
+_LISTED_BY_VECTOR = 2
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -62,9 +70,8 @@ def _roots(parents: DataFrame) -> DataFrame:
         pointers = durable(stepped.select("node", F.coalesce("further", "up").alias("up")))
 
 
-def _with_near_positions(cells: DataFrame, d: int) -> DataFrame:
+def _with_near_positions(cells: DataFrame, d: int, listed: int) -> DataFrame:
     """Adds ``position``: where, in the listed coordinates, points within one cell diagonal can lie."""
-    listed = min(d, _LISTED)
     reach = math.ceil(math.sqrt(d))
     rows, gap = cells, F.lit(0)
     for i in range(listed):
@@ -90,23 +97,37 @@ def _squared(a: str, b: str, d: int) -> Column:
     return total
 
 
-def dbscan_points(points: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
+def dbscan_points(
+    points: DataFrame, d: int, eps: float, min_samples: int, vectors: DataFrame | None = None
+) -> DataFrame:
     """``gid, is_core, cluster_id`` for weighted points ``gid, x (array), w``.
 
     A cluster is named by the smallest gid of its core points; noise has cluster -1. A
-    point next to several clusters joins the one with the smallest name.
+    point next to several clusters joins the one with the smallest name. With ``vectors``
+    (``vid, near_vid, apart``: squared distance, each vid with itself included) points
+    also have a ``vid``, and squared distances of both kinds are added up.
     """
     side = eps / math.sqrt(d)
     limit = eps * eps * (1 + 1e-12)
-    gridded = durable(
-        points.withColumn("cell", F.transform("x", lambda v: F.floor(v / side).cast("bigint")))
-    )
+    cell = F.transform("x", lambda v: F.floor(v / side).cast("bigint"))
+    if vectors is None:
+        gridded = durable(points.withColumn("cell", cell))
+    else:
+        gridded = durable(points.withColumn("cell", F.concat(cell, F.array("vid"))).drop("vid"))
     cells = gridded.groupBy("cell").agg(F.sum("w").alias("weight"), F.min("gid").alias("node"))
-    around = _with_near_positions(cells, d)
-    position = F.slice("cell", 1, min(d, _LISTED))
+    listed = min(d, _LISTED if vectors is None else _LISTED_BY_VECTOR)
+    position = F.slice("cell", 1, listed)
     others = cells.select(position.alias("position"), F.col("cell").alias("near_cell"), F.col("node").alias("near_node"))
-    near = durable(around.join(others, "position").drop("position").where(_gap(d) <= d))
-    sparse_near = near.where(F.col("weight") < min_samples).select("cell", "near_cell")
+    if vectors is None:
+        around = _with_near_positions(cells.withColumn("apart", F.lit(0.0)), d, listed)
+        met = around.join(others, "position").where(_gap(d) <= d)
+    else:
+        cells, others = durable(cells), others.withColumn("near_vid", F.col("near_cell")[d])
+        around = cells.withColumn("vid", F.col("cell")[d]).join(vectors, "vid").drop("vid")
+        met = _with_near_positions(around, d, listed).join(others, ["near_vid", "position"]).drop("near_vid")
+        met = met.where(_gap(d) * (side * side) + F.col("apart") <= limit)
+    near = durable(met.drop("position"))
+    sparse_near = near.where(F.col("weight") < min_samples).select("cell", "near_cell", "apart")
     # A sparse cell holds fewer than ``min_samples`` rows, so each point of the
     # surroundings meets a bounded number of partners.
     meetings = durable(
@@ -114,7 +135,7 @@ def dbscan_points(points: DataFrame, d: int, eps: float, min_samples: int) -> Da
             gridded.select(F.col("cell").alias("near_cell"), F.col("gid").alias("other"), F.col("x").alias("q"), "w"),
             "near_cell",
         )
-        .where(_squared("p", "q", d) <= limit)
+        .where(_squared("p", "q", d) + F.col("apart") <= limit)
         .select("gid", "other", "w")
     )
     counted = meetings.groupBy("gid").agg(F.sum("w").alias("reached"))
@@ -134,22 +155,22 @@ def dbscan_points(points: DataFrame, d: int, eps: float, min_samples: int) -> Da
     other_boxes = boxes.select(*[F.col(c).alias(f"o_{c}") for c in boxes.columns])
     pairs = (
         near.where(F.col("node") < F.col("near_node"))
-        .select(F.col("node"), F.col("near_node").alias("o_node"))
+        .select(F.col("node"), F.col("near_node").alias("o_node"), "apart")
         .join(boxes, "node").join(other_boxes, "o_node")
     )
-    widest = nearest = F.lit(0.0)
+    widest = nearest = F.col("apart")
     for i in range(d):
         lo, hi, olo, ohi = (F.col(c) for c in (f"lo{i}", f"hi{i}", f"o_lo{i}", f"o_hi{i}"))
         reach = F.greatest(F.abs(hi - olo), F.abs(ohi - lo))
         gap = F.greatest(olo - hi, lo - ohi, F.lit(0.0))
         widest, nearest = widest + reach * reach, nearest + gap * gap
-    judged = pairs.select("node", "o_node", widest.alias("widest"), nearest.alias("nearest"))
+    judged = pairs.select("node", "o_node", "apart", widest.alias("widest"), nearest.alias("nearest"))
     sure = judged.where(F.col("widest") <= limit)
     open_pairs = judged.where((F.col("widest") > limit) & (F.col("nearest") <= limit))
     touching = (
         open_pairs.join(core.select("node", F.col("x").alias("p")), "node")
         .join(core.select(F.col("node").alias("o_node"), F.col("x").alias("q")), "o_node")
-        .where(_squared("p", "q", d) <= limit)
+        .where(_squared("p", "q", d) + F.col("apart") <= limit)
     )
     edges = sure.select(F.col("node").alias("a"), F.col("o_node").alias("b")).unionByName(
         touching.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
@@ -177,18 +198,62 @@ def detect_density(
     eps: float = 0.5,
     min_samples: int = 5,
     id_column: str = "line_number",
+    text: str | None = None,
+    max_features: int = 1000,
 ) -> DataFrame:
-    """Adds ``is_core``, ``cluster_id``, ``anomaly_score`` (-1 or 0) and ``is_anomaly``."""
+    """Adds ``is_core``, ``cluster_id``, ``anomaly_score`` (-1 or 0) and ``is_anomaly``.
+
+    With ``text``, TF-IDF vectors of unit length (the ``max_features`` most frequent words, no stop words) stand beside
+    the features; ``eps`` must then be below 1. A null text counts as empty; texts without known words have the vector zero,
+    which lies 1 away from all others.
+    """
     if not features:
         raise ValueError("name at least one feature")
+    keys, clustered = list(features), df
+    if text is not None:
+        if not 0 < eps < 1:
+            raise ValueError("with a text, eps must lie between 0 and 1")
+        words = df.withColumn("_words", tokens(F.coalesce(F.col(text), F.lit(""))))
+        space = TermSpace(max_features).fit(words, "_words")
+        vector = rarest_first(words, space, "_words", 1 - eps * eps / 2)
+        clustered = durable(words.withColumn("_vector", vector).drop("_words"))
+        keys.append("_vector")
     points = durable(
-        df.groupBy(*features).agg(F.min(id_column).alias("gid"), F.count(F.lit(1)).alias("w"))
+        clustered.groupBy(*keys).agg(F.min(id_column).alias("gid"), F.count(F.lit(1)).alias("w"))
     )
-    coordinates = F.array(*[F.col(f).cast("double") for f in features])
-    found = dbscan_points(points.select("gid", coordinates.alias("x"), "w"), len(features), eps, min_samples)
+    placed = points.withColumn("x", F.array(*[F.col(f).cast("double") for f in features]))
+    if text is None:
+        found = dbscan_points(placed.select("gid", "x", "w"), len(features), eps, min_samples)
+    else:
+        vids = durable(placed.groupBy("_vector").agg(F.min("gid").alias("vid"), *box(len(features))))
+        near = near_vectors(vids, len(features), eps)
+        named = placed.select("gid", "x", "w", "_vector").join(vids.select("_vector", "vid"), "_vector").drop("_vector")
+        found = dbscan_points(named, len(features), eps, min_samples, near)
     known = points.join(found, "gid").drop("gid")
-    rows = salted_lookup(df, known, list(features), "w", [id_column])
+    rows = salted_lookup(clustered, known, keys, "w", [id_column]).select(*df.columns, "is_core", "cluster_id")
     noise = F.col("cluster_id") == -1
     return rows.withColumn("anomaly_score", F.when(noise, -1.0).otherwise(0.0)).withColumn(
         "is_anomaly", noise.cast("int")
     )
+
+
+def detect_message_density(
+    logs: DataFrame, eps: float = 0.5, min_samples: int = 5, max_features: int = 1000, id_column: str = "line_number"
+) -> DataFrame:
+    """``detect_density`` on the words of messages with their length, level, hour and weekday, each scaled to deviation 1.
+
+    Null messages count as empty, unknown levels as INFO, null times as hour and weekday 0.
+    """
+    measures = {
+        "_length": F.coalesce(F.length("message"), F.lit(0)),
+        "_level": severity(F.col("level"), "four_level"),
+        "_hour": F.coalesce(F.hour("timestamp"), F.lit(0)),
+        "_weekday": F.coalesce(F.weekday("timestamp"), F.lit(0)),
+    }
+    rows = logs.withColumns(measures)
+    stats = fitted(profile(rows, list(measures), quartiles=False))
+    rows = rows.withColumns(
+        {c: standard_scaled(F.col(c), stats[f"{c}_mean"], stats[f"{c}_std"]) for c in measures}
+    )
+    found = detect_density(rows, list(measures), eps, min_samples, id_column, "message", max_features)
+    return found.drop(*measures)

@@ -9,7 +9,7 @@ from logharbor.functions.stats import fitted, profile, standard_scaled
 from logharbor.functions.text import word_count
 from logharbor.operators import features as E
 from logharbor.operators.autoencoder import Autoencoder
-from logharbor.operators.density import detect_density
+from logharbor.operators.density import detect_density, detect_message_density
 from logharbor.operators.isolation_forest import IsolationForest
 from logharbor.operators.neighbours import exact_for, local_outlier_factor
 from logharbor.operators.nlp import detect_nlp
@@ -233,6 +233,32 @@ def dbscan_clusters(spark, sf_dir):
     )
 
 
+@query(
+    "detect_dbscan_text",
+    "WITH RECURSIVE " + sql(tfidf_cte("message", 1000, False) + f""", f AS (SELECT source, line_number, length(message) AS a, CASE level WHEN 'DEBUG' THEN 0 WHEN 'INFO' THEN 1 WHEN 'WARN' THEN 2 WHEN 'ERROR' THEN 3 ELSE 1 END AS b,
+  hour(timestamp) AS c, {DOW} AS d FROM app_logs),
+s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc, avg(d) AS md, stddev_pop(d) AS sd FROM f),
+l AS (SELECT source, line_number, sum(weight * weight) AS n2 FROM weights GROUP BY ALL),
+p AS (SELECT line_number, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c, (d - md) / sd AS d, coalesce(n2, 0) AS n2 FROM f CROSS JOIN s LEFT JOIN l USING (source, line_number)),
+m AS (SELECT x.line_number AS i, y.line_number AS j, x.n2 + y.n2 + (x.a-y.a)*(x.a-y.a) + (x.c-y.c)*(x.c-y.c) + (x.d-y.d)*(x.d-y.d) AS q
+  FROM p x JOIN p y ON x.b = y.b AND abs(x.a-y.a) <= 0.5 AND abs(x.c-y.c) <= 0.5 AND abs(x.d-y.d) <= 0.5 AND (x.a-y.a)*(x.a-y.a) + (x.c-y.c)*(x.c-y.c) + (x.d-y.d)*(x.d-y.d) <= 0.25),
+dots AS (SELECT i, j, sum(x.weight * y.weight) AS dot FROM m JOIN weights x ON x.line_number = i JOIN weights y ON y.line_number = j AND y.term = x.term GROUP BY ALL),
+near AS MATERIALIZED (SELECT i, j FROM m LEFT JOIN dots USING (i, j) WHERE q - 2 * coalesce(dot, 0) <= 0.25 + 1e-12),
+k AS MATERIALIZED (SELECT i FROM near GROUP BY i HAVING count(*) >= 5),
+e AS MATERIALIZED (SELECT i, j FROM near WHERE i IN (FROM k) AND j IN (FROM k)),
+r(i, j) AS (SELECT i, i FROM k UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i),
+names AS (SELECT i, min(j) AS name FROM r GROUP BY i),
+found AS (SELECT near.i, min(name) AS name FROM near JOIN names ON names.i = near.j GROUP BY near.i)
+SELECT line_number, k.i IS NOT NULL AS is_core, CAST(coalesce(own.name, found.name, -1) AS BIGINT) AS cluster_id, CAST(found.name IS NULL AS INT) AS is_anomaly,
+  CASE WHEN found.name IS NULL THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS anomaly_score
+FROM p LEFT JOIN k ON k.i = line_number LEFT JOIN names own ON own.i = line_number LEFT JOIN found ON found.i = line_number""").removeprefix("WITH "),
+)
+def detect_dbscan_text(spark, sf_dir):
+    """Words of the message beside length, level, hour and weekday; the levels lie more than eps apart."""
+    rows = detect_message_density(views.app_logs(spark, sf_dir))
+    return rows.select("line_number", "is_core", "cluster_id", "is_anomaly", "anomaly_score")
+
+
 @query(
     "embedding_cosine",
     """SELECT a.vec_id, b.vec_id AS next_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
