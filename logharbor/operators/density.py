@@ -21,7 +21,7 @@ from logharbor.functions.text import severity
 from logharbor.operators.near_texts import box, near_vectors, rarest_first
 from logharbor.operators.term_space import TermSpace
 from logharbor.operators.tfidf import tokens
-from logharbor.session import durable
+from logharbor.session import durable, shuffled
 
 #: Coordinates whose near positions are listed; cells that agree there are compared on the others.
 _LISTED = 4
@@ -70,17 +70,34 @@ def _roots(parents: DataFrame) -> DataFrame:
         pointers = durable(stepped.select("node", F.coalesce("further", "up").alias("up")))
 
 
+def _reach(d: int) -> int:
+    """Cells of a coordinate within which points at most a cell diagonal apart can lie."""
+    return math.ceil(math.sqrt(d))
+
+
+def _position(d: int, listed: int) -> Column:
+    """The block of ``cell`` in the listed coordinates; its sides are as long as the reach."""
+    return F.array(*[F.floor(F.col("cell")[i] / _reach(d)).cast("bigint") for i in range(listed)])
+
+
 def _with_near_positions(cells: DataFrame, d: int, listed: int) -> DataFrame:
-    """Adds ``position``: where, in the listed coordinates, points within one cell diagonal can lie."""
-    reach = math.ceil(math.sqrt(d))
-    rows, gap = cells, F.lit(0)
+    """Adds ``position``: the cell's own block and those beside it, which hold all cells within reach.
+
+    A row for each of 3 ** listed blocks; a row for each near cell would be many times as many.
+    """
+    rows = cells
+    for i in range(listed):
+        rows = rows.select("*", F.explode(F.array(*[F.lit(o).cast("bigint") for o in (-1, 0, 1)])).alias(f"_o{i}"))
+    own = _position(d, listed)
+    near = F.array(*[own[i] + F.col(f"_o{i}") for i in range(listed)])
+    return rows.select(*cells.columns, near.alias("position"))
+
+
+def _within_reach(d: int, listed: int) -> Column:
+    near = F.lit(True)
     for i in range(listed):
-        steps = F.sequence(F.lit(-reach).cast("bigint"), F.lit(reach).cast("bigint"))
-        rows = rows.select("*", F.explode(steps).alias(f"_o{i}"))
-        apart = F.greatest(F.abs(F.col(f"_o{i}")) - 1, F.lit(0))
-        gap = gap + apart * apart
-    near = F.array(*[F.col("cell")[i] + F.col(f"_o{i}") for i in range(listed)])
-    return rows.where(gap <= d).select(*cells.columns, near.alias("position"))
+        near = near & (F.abs(F.col("cell")[i] - F.col("near_cell")[i]) <= _reach(d))
+    return near
 
 
 def _gap(d: int) -> Column:
@@ -116,23 +133,23 @@ def dbscan_points(
         gridded = durable(points.withColumn("cell", F.concat(cell, F.array("vid"))).drop("vid"))
     cells = gridded.groupBy("cell").agg(F.sum("w").alias("weight"), F.min("gid").alias("node"))
     listed = min(d, _LISTED if vectors is None else _LISTED_BY_VECTOR)
-    position = F.slice("cell", 1, listed)
+    position = _position(d, listed)
     others = cells.select(position.alias("position"), F.col("cell").alias("near_cell"), F.col("node").alias("near_node"))
     if vectors is None:
         around = _with_near_positions(cells.withColumn("apart", F.lit(0.0)), d, listed)
-        met = around.join(others, "position").where(_gap(d) <= d)
+        met = shuffled(around).join(others, "position").where(_within_reach(d, listed) & (_gap(d) <= d))
     else:
         cells, others = durable(cells), others.withColumn("near_vid", F.col("near_cell")[d])
-        around = cells.withColumn("vid", F.col("cell")[d]).join(vectors, "vid").drop("vid")
-        met = _with_near_positions(around, d, listed).join(others, ["near_vid", "position"]).drop("near_vid")
-        met = met.where(_gap(d) * (side * side) + F.col("apart") <= limit)
+        around = shuffled(cells.withColumn("vid", F.col("cell")[d])).join(vectors, "vid").drop("vid")
+        met = shuffled(_with_near_positions(around, d, listed)).join(others, ["near_vid", "position"]).drop("near_vid")
+        met = met.where(_within_reach(d, listed) & (_gap(d) * (side * side) + F.col("apart") <= limit))
     near = durable(met.drop("position"))
     sparse_near = near.where(F.col("weight") < min_samples).select("cell", "near_cell", "apart")
     # A sparse cell holds fewer than ``min_samples`` rows, so each point of the
     # surroundings meets a bounded number of partners.
     meetings = durable(
-        gridded.select("cell", F.col("gid"), F.col("x").alias("p")).join(sparse_near, "cell").join(
-            gridded.select(F.col("cell").alias("near_cell"), F.col("gid").alias("other"), F.col("x").alias("q"), "w"),
+        shuffled(gridded.select("cell", F.col("gid"), F.col("x").alias("p"))).join(sparse_near, "cell").join(
+            shuffled(gridded.select(F.col("cell").alias("near_cell"), F.col("gid").alias("other"), F.col("x").alias("q"), "w")),
             "near_cell",
         )
         .where(_squared("p", "q", d) + F.col("apart") <= limit)
@@ -140,8 +157,8 @@ def dbscan_points(
     )
     counted = meetings.groupBy("gid").agg(F.sum("w").alias("reached"))
     flagged = durable(
-        gridded.join(cells.select("cell", "weight", "node"), "cell")
-        .join(counted, "gid", "left")
+        shuffled(gridded).join(cells.select("cell", "weight", "node"), "cell")
+        .join(shuffled(counted), "gid", "left")
         .select(
             "gid", "x", "cell", "node",
             ((F.col("weight") >= min_samples) | (F.coalesce("reached", F.lit(0)) >= min_samples)).alias("is_core"),
@@ -156,7 +173,7 @@ def dbscan_points(
     pairs = (
         near.where(F.col("node") < F.col("near_node"))
         .select(F.col("node"), F.col("near_node").alias("o_node"), "apart")
-        .join(boxes, "node").join(other_boxes, "o_node")
+        .join(shuffled(boxes), "node").join(shuffled(other_boxes), "o_node")
     )
     widest = nearest = F.col("apart")
     for i in range(d):
@@ -168,23 +185,23 @@ def dbscan_points(
     sure = judged.where(F.col("widest") <= limit)
     open_pairs = judged.where((F.col("widest") > limit) & (F.col("nearest") <= limit))
     touching = (
-        open_pairs.join(core.select("node", F.col("x").alias("p")), "node")
-        .join(core.select(F.col("node").alias("o_node"), F.col("x").alias("q")), "o_node")
+        open_pairs.join(shuffled(core.select("node", F.col("x").alias("p"))), "node")
+        .join(shuffled(core.select(F.col("node").alias("o_node"), F.col("x").alias("q"))), "o_node")
         .where(_squared("p", "q", d) + F.col("apart") <= limit)
     )
     edges = sure.select(F.col("node").alias("a"), F.col("o_node").alias("b")).unionByName(
         touching.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
     )
     components = connected_components(boxes.select("node"), edges)
-    placed = core.join(components, "node")
+    placed = shuffled(core).join(components, "node")
     names = placed.groupBy("label").agg(F.min("gid").alias("cluster_id"))
     core_clusters = placed.join(names, "label").select("gid", "cluster_id")
     border = (
-        meetings.join(core_clusters.select(F.col("gid").alias("other"), "cluster_id"), "other")
+        shuffled(meetings).join(core_clusters.select(F.col("gid").alias("other"), "cluster_id"), "other")
         .groupBy("gid").agg(F.min("cluster_id").alias("near_cluster"))
     )
     return (
-        flagged.join(core_clusters, "gid", "left").join(border, "gid", "left")
+        shuffled(flagged).join(core_clusters, "gid", "left").join(shuffled(border), "gid", "left")
         .select(
             "gid", "is_core",
             F.coalesce("cluster_id", "near_cluster", F.lit(-1).cast("bigint")).alias("cluster_id"),
@@ -227,9 +244,9 @@ def detect_density(
     else:
         vids = durable(placed.groupBy("_vector").agg(F.min("gid").alias("vid"), *box(len(features))))
         near = near_vectors(vids, len(features), eps)
-        named = placed.select("gid", "x", "w", "_vector").join(vids.select("_vector", "vid"), "_vector").drop("_vector")
+        named = shuffled(placed.select("gid", "x", "w", "_vector")).join(vids.select("_vector", "vid"), "_vector").drop("_vector")
         found = dbscan_points(named, len(features), eps, min_samples, near)
-    known = points.join(found, "gid").drop("gid")
+    known = shuffled(points).join(found, "gid").drop("gid")
     rows = salted_lookup(clustered, known, keys, "w", [id_column]).select(*df.columns, "is_core", "cluster_id")
     noise = F.col("cluster_id") == -1
     return rows.withColumn("anomaly_score", F.when(noise, -1.0).otherwise(0.0)).withColumn(

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logharbor.operators.term_space import TermSpace
-from logharbor.session import durable
+from logharbor.session import durable, shuffled
 
 #: Vectors under one term that one join key may hold.
 _BLOCK = 2_000
@@ -83,7 +83,7 @@ def near_vectors(vectors: DataFrame, d: int, eps: float) -> DataFrame:
         "term", "i", "j", F.col("vid").alias("near_vid"), F.col("_vector").alias("v"), *[F.col(c).alias(f"o_{c}") for c in ends]
     )
     # Inside one block each pair comes twice; between blocks once, in either order.
-    met = left.join(right, ["term", "i", "j"]).where((F.col("vid") != F.col("near_vid")) & ((F.col("i") < F.col("j")) | (F.col("vid") < F.col("near_vid"))))
+    met = shuffled(left).join(right, ["term", "i", "j"]).where((F.col("vid") != F.col("near_vid")) & ((F.col("i") < F.col("j")) | (F.col("vid") < F.col("near_vid"))))
     gap = F.lit(0.0)
     for k in range(d):
         apart = F.greatest(F.col(f"lo{k}") - F.col(f"o_hi{k}"), F.col(f"o_lo{k}") - F.col(f"hi{k}"), F.lit(0.0))

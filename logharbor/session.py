@@ -62,6 +62,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffle and sort, however small Spark takes it for.
+
+    Stored rows count by the size of their files. Repeated values and arrays shrink to a
+    hundredth there, and what is made of such rows would be broadcast through the driver.
+    """
+    return df.hint("merge")
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Remove what this application wrote to the shared folder; call it when all results are consumed."""
     jvm, path = spark.sparkContext._jvm, _application_dir(spark)
