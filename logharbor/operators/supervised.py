@@ -20,7 +20,10 @@ from logharbor.operators.bundle import load_bundle, save_bundle
 from logharbor.operators.features import with_error_keywords
 from logharbor.operators.scoring import importance_table
 from logharbor.operators.tfidf import tokens
-from logharbor.session import durable, shared_dir
+from logharbor.session import durable, shared_dir, spread
+
+#: Rows that a task keeps as vectors while trees are grown; a vector of 500 terms takes about 2.5 kB.
+_ROWS_PER_TASK = 250_000
 
 
 def heuristic_labels(
@@ -117,7 +120,7 @@ class RandomForestDetector:
             featuresCol="_features", labelCol="label", weightCol="weight",
             numTrees=self.n_estimators, maxDepth=self.max_depth, seed=self.seed,
         )
-        trees = forest.fit(PipelineModel(fixed).transform(rows))
+        trees = forest.fit(PipelineModel(fixed).transform(spread(rows, _ROWS_PER_TASK)))
         self.model = _stored(PipelineModel([*fixed, trees]), df.sparkSession)
         return self
 
@@ -169,7 +172,7 @@ class GradientBoostingSearch:
     def fit(self, df: DataFrame, parallelism: int = 4) -> "GradientBoostingSearch":
         # Trials times folds times rounds of passes follow.
         kept = durable(df.select(*self.features, self.label))
-        data = VectorAssembler(inputCols=self.features, outputCol="_features").transform(kept)
+        data = VectorAssembler(inputCols=self.features, outputCol="_features").transform(spread(kept, _ROWS_PER_TASK))
         booster = GBTClassifier(featuresCol="_features", labelCol=self.label, seed=self.seed)
         chooser = random.Random(self.seed)
         grids, drawn = [], []

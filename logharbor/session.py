@@ -71,6 +71,20 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def partitions_for(n: int, spark: SparkSession, rows: int) -> int:
+    """How many partitions give a task about ``rows`` of ``n`` rows; at least one for each core."""
+    return max(spark.sparkContext.defaultParallelism, -(-n // rows))
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Stored rows dealt out so that a task holds about ``rows`` of them.
+
+    Files are read in pieces by their bytes, which say little about what a task makes of the rows.
+    """
+    n = df.count()
+    return df if n <= rows else df.repartition(partitions_for(n, df.sparkSession, rows))
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Remove what this application wrote to the shared folder; call it when all results are consumed."""
     jvm, path = spark.sparkContext._jvm, _application_dir(spark)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logharbor.operators import density as D
-from logharbor.session import durable, shuffled
+from logharbor.session import durable, shuffled, spread
 
 
 def _plan(df) -> str:
@@ -43,3 +43,19 @@ def test_stored_rows_are_shuffled_on_request(spark):
     small = durable(spark.range(1000).select("id", F.array_repeat(F.lit(1), 1000).alias("a")))
     assert "BroadcastHashJoin" in _plan(spark.range(10).join(small, "id"))
     assert "SortMergeJoin" in _plan(spark.range(10).join(shuffled(small), "id"))
+
+
+def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from logharbor.operators import supervised as S
+
+    # One file, so one task would keep all rows.
+    stored = durable(spark.range(20_000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 3 == 0).cast("double").alias("y")).coalesce(1))
+    assert spread(stored, 20_000).rdd.getNumPartitions() == stored.rdd.getNumPartitions()
+    sizes = spread(stored, 1000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) < 1100
+    seen = []
+    fit = S.CrossValidator.fit
+    monkeypatch.setattr(S, "_ROWS_PER_TASK", 1000)
+    monkeypatch.setattr(S.CrossValidator, "fit", lambda self, data: seen.append(data.rdd.getNumPartitions()) or fit(self, data))
+    S.GradientBoostingSearch(["x"], "y", trials=1, folds=2, estimators=(1, 1), depth=(1, 1)).fit(stored)
+    assert seen == [20]
