@@ -59,3 +59,16 @@ def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(S.CrossValidator, "fit", lambda self, data: seen.append(data.rdd.getNumPartitions()) or fit(self, data))
     S.GradientBoostingSearch(["x"], "y", trials=1, folds=2, estimators=(1, 1), depth=(1, 1)).fit(stored)
     assert seen == [20]
+
+
+def test_terms_are_counted_in_bounded_pieces(spark, monkeypatch):
+    from logharbor.operators import tfidf as T
+    from logharbor.operators.term_space import hashed_terms
+
+    monkeypatch.setattr(T, "_ROWS_PER_TASK", 500)
+    texts = spark.range(20_000).select("id", F.concat(F.lit("alpha beta "), F.col("id").cast("string")).alias("text"))
+    counted = T.term_counts(texts, ["id"], F.col("text"), bigrams=False)
+    hashed = hashed_terms(texts.select("id", T.tokens(F.col("text")).alias("terms")), ["id"], "terms", 100_003)
+    for rows in (counted, hashed):
+        pieces = rows.groupBy(F.spark_partition_id()).agg(F.count_distinct("id").alias("n")).collect()
+        assert len(pieces) == 40 and max(r["n"] for r in pieces) < 700
