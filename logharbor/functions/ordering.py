@@ -126,12 +126,27 @@ def centred_counts(
         "_bucket",
         F.explode(F.sequence(bucket_of(F.col("_us") - half), bucket_of(F.col("_us") + half))),
     )
-    frame = W.partitionBy(*partition, "_bucket").orderBy("_us").rangeBetween(-half, half)
-    return (
-        copied.withColumn(output, F.sum("n").over(frame))
-        .where(F.col("_bucket") == bucket_of(F.col("_us")))
-        .select(*partition, ts, "n", output)
+    # A row enters the frame of the times from half a frame before it and has left it after half a frame.
+    moves = F.array(
+        F.struct((F.col("_us") - half).alias("at"), F.col("n").alias("change"), F.lit(False).alias("asks")),
+        F.struct((F.col("_us") + half + 1).alias("at"), (-F.col("n")).alias("change"), F.lit(False).alias("asks")),
+        F.struct(F.col("_us").alias("at"), F.lit(0).cast("bigint").alias("change"), F.lit(True).alias("asks")),
     )
+    return _running_frames(copied, moves, bucket_of, output, partition, ts)
+
+
+def _running_frames(
+    copied: DataFrame, moves: Column, bucket_of, output: str, partition: Sequence[str], ts: str
+) -> DataFrame:
+    """Sizes of sliding frames as running sums of what enters and leaves; for rows of crowded
+    frames, summing each frame anew would take the square of their number."""
+    moved = copied.select("*", F.explode(moves).alias("_move")).where(
+        F.when(F.col("_move.asks"), F.col("_bucket") == bucket_of(F.col("_us"))).otherwise(
+            bucket_of(F.col("_move.at")) <= F.col("_bucket")
+        )
+    )
+    upto = W.partitionBy(*partition, "_bucket").orderBy("_move.at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    return moved.withColumn(output, F.sum("_move.change").over(upto)).where("_move.asks").select(*partition, ts, "n", output)
 
 
 def trailing_counts(
@@ -150,12 +165,12 @@ def trailing_counts(
         "_bucket",
         F.explode(F.sequence(bucket_of(F.col("_us")), bucket_of(F.col("_us") + (reach - 1)))),
     )
-    frame = W.partitionBy(*partition, "_bucket").orderBy("_us").rangeBetween(-(reach - 1), 0)
-    return (
-        copied.withColumn(output, F.sum("n").over(frame))
-        .where(F.col("_bucket") == bucket_of(F.col("_us")))
-        .select(*partition, ts, "n", output)
+    moves = F.array(
+        F.struct(F.col("_us").alias("at"), F.col("n").alias("change"), F.lit(False).alias("asks")),
+        F.struct((F.col("_us") + reach).alias("at"), (-F.col("n")).alias("change"), F.lit(False).alias("asks")),
+        F.struct(F.col("_us").alias("at"), F.lit(0).cast("bigint").alias("change"), F.lit(True).alias("asks")),
     )
+    return _running_frames(copied, moves, bucket_of, output, partition, ts)
 
 
 _ROWS_PER_PIECE = 5_000_000

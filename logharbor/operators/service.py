@@ -129,10 +129,12 @@ def _near_crowded(load: DataFrame, max_requests: int, window: int) -> DataFrame:
     copied = marked.withColumn(
         "_bucket", F.explode(F.sequence(bucket_of(F.col("_us") - window), bucket_of(F.col("_us"))))
     )
-    frame = W.partitionBy("client_id", "_bucket").orderBy("_us").rangeBetween(0, window)
+    # The next crowded time is a running minimum from the end; a frame of its own for each row would be
+    # searched anew each time.
+    onwards = W.partitionBy("client_id", "_bucket").orderBy(F.desc("_us")).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        copied.withColumn("_ahead", F.max("_crowded").over(frame))
-        .where((F.col("_bucket") == bucket_of(F.col("_us"))) & (F.col("_ahead") == 1))
+        copied.withColumn("_next", F.min(F.when(F.col("_crowded") == 1, F.col("_us"))).over(onwards))
+        .where((F.col("_bucket") == bucket_of(F.col("_us"))) & (F.col("_next") - F.col("_us") <= window))
         .select("client_id", "ts", "_us")
     )
 

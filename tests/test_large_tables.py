@@ -72,3 +72,31 @@ def test_terms_are_counted_in_bounded_pieces(spark, monkeypatch):
     for rows in (counted, hashed):
         pieces = rows.groupBy(F.spark_partition_id()).agg(F.count_distinct("id").alias("n")).collect()
         assert len(pieces) == 40 and max(r["n"] for r in pieces) < 700
+
+
+def test_frames_of_crowded_times_are_running_sums(spark):
+    import numpy as np
+    from logharbor.functions.ordering import centred_counts, trailing_counts
+    from logharbor.operators.service import _near_crowded
+
+    micros = np.random.default_rng(1).integers(0, 40_000_000, 1500).tolist() + [0, 10_000_000, 10_000_000, 20_000_000]
+    rows = spark.createDataFrame([("c", int(m)) for m in micros], "client_id string, us bigint").selectExpr(
+        "client_id", "CAST(timestamp_micros(us) AS timestamp_ntz) AS ts", "us"
+    )
+    at = np.sort(np.array(micros))
+    trailing = trailing_counts(rows, "ts", 10, "load", ["client_id"])
+    centred = centred_counts(rows, "ts", 5, "load")
+    near = _near_crowded(trailing.withColumnRenamed("load", "_load"), 390, 10_000_000)
+    for frame in (trailing, centred, near):
+        plan = _plan(frame)
+        assert "unboundedpreceding$(), currentrow$()" in plan and "RangeFrame, -" not in plan and "RangeFrame, 0" not in plan
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    for frame, low, high in ((trailing, -9_999_999, 0), (centred, -5_000_000, 5_000_000)):
+        found = {r["us"]: (r["n"], r["load"]) for r in frame.select(us.alias("us"), "n", "load").collect()}
+        wanted = {int(m): (int((at == m).sum()), int(((at >= m + low) & (at <= m + high)).sum())) for m in at}
+        assert found == wanted
+    loads = {int(m): ((at > m - 10_000_000) & (at <= m)).sum() for m in at}
+    crowded = np.array(sorted(m for m, n in loads.items() if n > 390))
+    assert 0 < len(crowded) < len(loads)
+    wanted = {m for m in loads if ((crowded >= m) & (crowded <= m + 10_000_000)).any()}
+    assert {r["_us"] for r in near.collect()} == wanted
