@@ -48,8 +48,12 @@ def write_xml(df: DataFrame, path: str) -> None:
     _xml(R.processing_statistics(df), f"{path}/metadata", "results", "metadata")
 
 
+#: Elements of an XML file; a reader takes a file in one task.
+_ELEMENTS_PER_FILE = 200_000
+
+
 def _xml(df: DataFrame, path: str, root: str, row: str) -> None:
-    df.write.mode("overwrite").format("xml").option("rootTag", root).option("rowTag", row).save(path)
+    df.write.mode("overwrite").format("xml").option("maxRecordsPerFile", _ELEMENTS_PER_FILE).option("rootTag", root).option("rowTag", row).save(path)
 
 
 def write_alerts(df: DataFrame, path: str, config: AlertConfig = AlertConfig()) -> None:

@@ -100,3 +100,14 @@ def test_frames_of_crowded_times_are_running_sums(spark):
     assert 0 < len(crowded) < len(loads)
     wanted = {m for m in loads if ((crowded >= m) & (crowded <= m + 10_000_000)).any()}
     assert {r["_us"] for r in near.collect()} == wanted
+
+
+def test_xml_files_are_bounded(spark, monkeypatch, tmp_path):
+    from logharbor.sources import sinks
+
+    monkeypatch.setattr(sinks, "_ELEMENTS_PER_FILE", 100)
+    rows = spark.range(1000).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("message")).coalesce(1)
+    sinks._xml(rows, str(tmp_path / "rows"), "logs", "log_entry")
+    assert len(list((tmp_path / "rows").glob("part-*"))) == 10
+    again = spark.read.format("xml").option("rowTag", "log_entry").schema("id bigint, message string").load(str(tmp_path / "rows"))
+    assert again.exceptAll(rows).isEmpty() and again.count() == 1000
