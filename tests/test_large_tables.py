@@ -111,3 +111,20 @@ def test_xml_files_are_bounded(spark, monkeypatch, tmp_path):
     assert len(list((tmp_path / "rows").glob("part-*"))) == 10
     again = spark.read.format("xml").option("rowTag", "log_entry").schema("id bigint, message string").load(str(tmp_path / "rows"))
     assert again.exceptAll(rows).isEmpty() and again.count() == 1000
+
+
+def test_points_are_sent_to_shelves_not_cells(spark):
+    import numpy as np
+    import pandas as pd
+    from logharbor.operators.neighbours import _closest, _distances, _shelves
+
+    pick = np.random.default_rng(2)
+    # A lattice has many ties, and far from the origin inner products are rough.
+    b = pick.integers(0, 6, size=(900, 5)).astype(float) + 1e6
+    near, d = _closest(b[:50], b, 21)
+    all_of = _distances(b[:50], b)
+    order = np.argsort(all_of, axis=1, kind="stable")[:, :21]
+    assert (near == order).all() and (d == np.take_along_axis(all_of, order, axis=1)).all()
+    cells = pd.DataFrame({"cell": np.arange(400), "points": np.full(400, 256)})
+    shelves = _shelves(pick.normal(size=(400, 8)), cells, 4096)
+    assert len(np.unique(shelves)) == 25 and np.bincount(shelves).max() * 256 <= 4096
