@@ -150,3 +150,37 @@ def test_forest_on_labels_and_feedback(spark, tmp_path):
     model = refit_with_feedback(rows, feedback, ["severity_score", "message_length"], key, trees=5)
     right = model.transform(rows).where(F.col("prediction") == (F.col("level") == "ERROR").cast("double")).count()
     assert right > 0.9 * logs.count()
+
+
+def test_scored_rows_are_stored(spark, log_rows):
+    """Scores are worked out once, not again for the cut, for the confidence and for the result."""
+    from logharbor.operators.detector import AnomalyDetector, CoreDetector
+
+    rows = log_rows([("s", i, "2024-01-01 10:00:00", "INFO", f"request {i % 7} served in time") for i in range(300)])
+    settings = {"n_estimators": 5, "n_components": 3, "n_neighbors": 5}
+    for found in (
+        AnomalyDetector({"ml_model": settings}).fit_transform(rows),
+        AnomalyDetector({"ml_model": {**settings, "algorithm": "ensemble"}}).fit_transform(rows),
+        CoreDetector(0.05, n_estimators=5).fit_transform(rows),
+    ):
+        assert "EvalPython" not in found._jdf.queryExecution().toString()
+        assert found.count() == 300
+
+
+def test_forest_and_machine_of_one_feature(spark):
+    rows = spark.createDataFrame([("s", i, float(i % 10) + (90.0 if i == 77 else 0.0)) for i in range(200)], "source string, line_number long, x double")
+    for model in (IsolationForest(["x"], n_estimators=20, contamination=0.01).fit(rows), OneClassSVM(["x"], nu=0.01).fit(rows)):
+        scores = {r["line_number"]: r["anomaly_score"] for r in model.transform(rows).collect()}
+        assert min(scores, key=scores.get) == 77
+
+
+def test_equal_rows_are_projected_alike(spark):
+    """Whatever lies around a row, its components are the same to the last bit; equal vectors are grouped by them."""
+    from logharbor.operators.reduction import PrincipalComponents
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [0, 1, 2 + i % 50], [1.0, float(rng.normal()), 0.3]) for i in range(3000)]
+    rows += [(-1 - i, [0, 1, 7, 30], [0.1, 0.2, 0.3, 0.7]) for i in range(3000) for _ in range(i % 2)]
+    df = spark.createDataFrame(rows, "id long, idx array<int>, val array<double>").repartition(5)
+    reduced = PrincipalComponents(60, 4).fit(df).transform(df)
+    assert reduced.where("id < 0").select("reduced").distinct().count() == 1
