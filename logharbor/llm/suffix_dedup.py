@@ -11,8 +11,9 @@ bytes alone (the least hash of a short gram), so equal strings meet the sample a
 2. A bucket with different surroundings is sorted by itself. Few members: their common stretches to
    the left and right of the sample are compared. Many: all their suffixes are sorted by ranks of a
    difference cover: the ranks of blocks at multiples of a period, doubled until they span the middle of
-   a string, resolve the long ties; the few bytes around them decide the rest. Very many: the
-   suffixes become rows and Spark sorts them, each distance from the sample in its own bucket.
+   a string, resolve the long ties; the few bytes around them decide the rest. Very many: the distances from
+   the sample are cut into four ranges, and members go on, range by range, with those that share the bytes
+   which all strings of the range hold; only what is crowded at a single distance is sorted by Spark.
 3. Covered stretches are joined for each text and cut out.
 
 Equal surroundings inside a batch are one row from the start, so a passage in a third of all texts
@@ -38,6 +39,8 @@ _PIECE = 1 << 20
 _STRETCH, _CUTS = 4 << 20, 5000
 _FEW = 48
 _MANY = 4096
+#: Ranges of starts that a crowded bucket is cut into.
+_WAYS = 4
 
 
 def _sliding(values: np.ndarray, width: int, combine) -> np.ndarray:
@@ -246,7 +249,7 @@ def sort_suffixes(around: np.ndarray, length: int, starts: range, period: int =
 
 
 def _compare(reach: int, length: int):
-    """Covered stretches of the members of whole buckets, from rows sorted by bucket, doc_id and place."""
+    """Covered stretches of the members of whole buckets, from rows sorted by bucket, low, doc_id and place."""
 
     def pairs(around, left, right, low, high):
         """All pairs of members of the buckets from row ``low`` to ``high``."""
@@ -273,13 +276,14 @@ def _compare(reach: int, length: int):
             bucket, doc, place, left, right = (table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "doc_id", "place", "left_", "right_"))
             data = buffers(table.column("around").combine_chunks())[0]
             around = data.reshape(-1, reach + length)
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+            first, final = (table.column(c).to_numpy() for c in ("low", "high"))
+            cuts = np.concatenate(([0], np.flatnonzero((np.diff(bucket) != 0) | (np.diff(first) != 0)) + 1, [len(bucket)]))
             low, high = cuts[:-1], cuts[1:]
             few = high - low <= _FEW
             for row, to_left, to_right in pairs(around, left, right, low[few], high[few]):
                 yield stretch(doc, place, row, to_left, to_right)
             for a, b in zip(low[~few], high[~few]):
-                for start, rank in sort_suffixes(around[a:b], length, range(reach + 1)):
+                for start, rank in sort_suffixes(around[a:b], length, range(first[a], final[a] + 1)):
                     whole = np.flatnonzero((start >= reach - left[a:b]) & (start + length <= reach + right[a:b]))
                     # Members stand in the order of their places, so the first of a rank is the earliest.
                     _, earliest = np.unique(rank[whole], return_index=True)
@@ -350,6 +354,24 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _parted(rows: DataFrame, reach: int, length: int) -> DataFrame:
+    """Members of crowded buckets for each part of their range of starts: a string of ``length`` bytes from ``low`` to ``high``
+    holds the bytes from ``high`` on that name the part's bucket. Buckets that share a name by chance are told apart by their bytes."""
+    width = F.ceil((F.col("high") - F.col("low") + 1) / _WAYS).cast("int")
+    parts = rows.withColumn("width", width).select("*", F.explode(F.sequence("low", "high", "width")).alias("from_"))
+    parts = parts.select(
+        "bucket", "doc_id", "place", "left_", "right_", "around",
+        F.col("from_").alias("low"), F.least(F.col("from_") + F.col("width") - 1, F.col("high")).alias("high"),
+    ).where((F.greatest(F.col("low"), reach - F.col("left_"))) <= F.least(F.col("high"), reach + F.col("right_") - length))
+    core = F.substring("around", F.col("high") + 1, F.col("low") + length - F.col("high"))
+    return parts.withColumn("bucket", F.xxhash64("bucket", "low", core))
+
+
+def _crowded(members: DataFrame) -> DataFrame:
+    sizes = members.groupBy(F.col("bucket").alias("full"), F.col("low").alias("full_low")).count()
+    return kept(sizes.where(f"count > {_MANY}").select("full", "full_low"), "crowded")
+
+
 def covered_stretches(docs: DataFrame, length: int = 100) -> DataFrame:
     """``doc_id, start, stop``: stretches of bytes to remove, possibly overlapping, for unique ids and no null texts."""
     gram = max(4, length // 3)
@@ -360,7 +382,7 @@ def covered_stretches(docs: DataFrame, length: int = 100) -> DataFrame:
     )
     known = settled.where("bucket IS NULL").select("doc_id", (F.col("place") - F.col("left_")).alias("start"), (F.col("place") + F.col("right_")).alias("stop"))
     mixed = settled.where("bucket IS NOT NULL")
-    crowded = kept(mixed.groupBy(F.col("bucket").alias("full")).count().where(f"count > {_MANY}").select("full"), "crowded")
+    crowded = _crowded(mixed.withColumn("low", F.lit(0)))
     wanted = mixed.groupBy(F.col("doc_id").alias("wanted_id")).agg(F.collect_list(F.struct("bucket", "place", "left_", "right_")).alias("wanted"))
     texts = IdMap(mixed).split(docs, True)
     around = kept(
@@ -370,25 +392,33 @@ def covered_stretches(docs: DataFrame, length: int = 100) -> DataFrame:
         "around",
     )
     covers = "doc_id long, start long, stop long"
-    small = (
-        around.join(crowded, around["bucket"] == crowded["full"], "left_anti")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "doc_id", "place")
-        .mapInArrow(lean(_compare(reach, length)), covers)
-    )
-    large = around.join(crowded, around["bucket"] == crowded["full"], "left_semi")
-    strings = large.select("*", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("start_")).where(
-        (F.col("start_") >= reach - F.col("left_")) & (F.col("start_") + length <= reach + F.col("right_"))
-    )
-    by_spark = (
-        strings.select(
-            "bucket", "start_", F.substring("around", F.col("start_") + 1, F.lit(length)).alias("string"), "doc_id", (F.col("place") - reach + F.col("start_")).alias("place")
+    found = known
+    members = around.withColumn("low", F.lit(0)).withColumn("high", F.lit(reach))
+    while True:
+        full = (members["bucket"] == crowded["full"]) & (members["low"] == crowded["full_low"])
+        small = (
+            members.join(crowded, full, "left_anti")
+            .repartition("bucket")
+            .sortWithinPartitions("bucket", "low", "doc_id", "place")
+            .mapInArrow(lean(_compare(reach, length)), covers)
         )
-        .repartition("bucket", "start_")
-        .sortWithinPartitions("bucket", "start_", "string", "doc_id", "place")
-        .mapInArrow(lean(_neighbours(length)), covers)
-    )
-    return known.unionAll(small).unionAll(by_spark)
+        found = found.unionAll(small)
+        if crowded.isEmpty():
+            return found
+        large = members.join(crowded, full, "left_semi")
+        by_spark = (
+            large.where("low = high")
+            .select(
+                "bucket", F.col("low").alias("start_"), F.substring("around", F.col("low") + 1, F.lit(length)).alias("string"),
+                "doc_id", (F.col("place") - reach + F.col("low")).alias("place"),
+            )
+            .repartition("bucket", "start_")
+            .sortWithinPartitions("bucket", "start_", "string", "doc_id", "place")
+            .mapInArrow(lean(_neighbours(length)), covers)
+        )
+        found = found.unionAll(by_spark)
+        members = kept(_parted(large.where("low < high"), reach, length), "members")
+        crowded = _crowded(members)
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:

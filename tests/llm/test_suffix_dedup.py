@@ -85,3 +85,18 @@ def test_pieces_do_not_change_the_sample(monkeypatch):
 
 def test_no_rows(spark):
     assert suffix_dedup.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_crowded_buckets_are_not_copied_for_each_start(spark, monkeypatch):
+    """Each member of a crowded bucket becomes a row for a few ranges of starts, not one for each start."""
+    monkeypatch.setattr(suffix_dedup, "_MANY", 4)
+    stored = []
+    keep = suffix_dedup.kept
+    monkeypatch.setattr(suffix_dedup, "kept", lambda df, purpose: stored.append((purpose, keep(df, purpose))) or stored[-1][1])
+    rng = random.Random(7)
+    word = "".join(rng.choice("abcdef ") for _ in range(95))
+    rows = [(i, "".join(rng.choice("ghij") for _ in range(200)) + word + "".join(rng.choice("ghij") for _ in range(200))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, suffix_dedup.without_repeats(frame).collect())) == sorted(expected(rows, 100))
+    rows_of = lambda name: sum(df.count() for purpose, df in stored if purpose == name)
+    assert rows_of("around") >= 60 and 3 * rows_of("members") < 68 * rows_of("around")
