@@ -12,102 +12,179 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from logharbor.llm.common import Remembered, kept, letters_of_bytes, texts, with_running_total
+from logharbor.llm.common import Remembered, buffers, kept, letters_of_bytes, stretches, texts, with_running_total
 
-#: The splitting rule of the word vocabulary (fixed value of the tokenizer) on printable ASCII and the letters of Latin-1.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The splitting rule of the word vocabulary (fixed value of the tokenizer) on printable ASCII and the letters of Latin-1;
+#: a blank is a piece of its own.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+| ")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+#: Behind a word's last byte; a sign that no plain word holds.
+_END = "\x01"
+#: Bytes of texts whose words are looked up together.
+_STRETCH = 4 << 20
 _CLASSES = 64
 _PARTS = 4
 
 
+@lru_cache(maxsize=4)
+def merge_ranks(vocabulary: str) -> frozenset[tuple[bytes, int]]:
+    """Tokens by their bytes, those that end a word with ``_END`` behind them, numbered in the order of merges.
+
+    Merging the neighbours that make the token of the lowest number is then what the library does: a token that its own
+    bytes are merged to cannot be made from any other two neighbours. Tokens of which that is not so are never made and
+    left out. Empty where the numbers do not follow the merges; then the library has to do it.
+    """
+    model, byte, last = json.loads(vocabulary)["model"], letters_of_bytes(), _END.encode()
+    number, end = model["vocab"], model.get("end_of_word_suffix")
+    if not end or not all(letter in number and letter + end in number for letter in byte):
+        return frozenset()
+    ranks = {bytes([b]): number[letter] for letter, b in byte.items()}
+    ranks.update({bytes([b]) + last: number[letter + end] for letter, b in byte.items()})
+    pairs = [merge.split(" ") if isinstance(merge, str) else merge for merge in model["merges"]]
+    made = {(number[a], number[b]): number[a + b] for a, b in pairs}
+    newest = max(ranks.values())
+    for a, b in pairs:
+        token, whole = number[a + b], a + b
+        if token <= max(newest, number[a], number[b]):
+            return frozenset()
+        newest, body = token, whole.removesuffix(end)
+        ids = [number[letter] for letter in body]
+        if body != whole:
+            ids[-1] = number[body[-1] + end]
+        while len(ids) > 1:
+            lowest = min(made.get(pair, token + 1) for pair in zip(ids, ids[1:]))
+            if lowest > token:
+                break
+            joined, at = [], 0
+            while at < len(ids):
+                meet = made.get(tuple(ids[at : at + 2])) == lowest
+                joined.append(lowest if meet else ids[at])
+                at += 1 + meet
+            ids = joined
+        if ids == [token]:
+            ranks[bytes(byte[letter] for letter in body) + last * (body != whole)] = token
+    return frozenset(ranks.items())
+
+
 class WordIds:
-    """Token ids of texts, as little-endian unsigned 32-bit numbers, for a vocabulary with word ends.
+    """Token ids of texts for a vocabulary with word ends.
 
-    Words are looked up between blanks and line feeds, which end a token in any case. Unknown words of
-    plain characters are split here and merged by the library's model; all others go through the whole
-    library.
+    Texts are taken apart at blanks and line feeds, which end a token in any case, and every different word is looked at
+    once. Words of plain characters are split here and merged together, by tiktoken with the numbers of
+    ``merge_ranks``; all others go through the whole library and are remembered.
     """
 
-    def __init__(self, vocabulary: str, remembered: int = 150_000) -> None:
+    def __init__(self, vocabulary: str, ranks: frozenset[tuple[bytes, int]], remembered: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_str(vocabulary)
         self._marks = [token.content for token in self._library.get_added_tokens_decoder().values()]
-        self._letters = {b: c for c, b in letters_of_bytes().items()}
-        self._parts = Remembered(self._part, remembered // 2)
-        self._words = Remembered(self._word, remembered)
-
-    def _part(self, part: str) -> bytes:
-        """One piece between splits, merged by the model."""
-        if not part.isascii():
-            part = part.encode().decode("latin-1").translate(self._letters)
-        return array("I", [token.id for token in self._library.model.tokenize(part)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if _PLAIN.fullmatch(word) and not ("<" in word and any(mark in word for mark in self._marks)):
-            low = word.lower()
-            if low.isalpha():
-                return self._parts[low]
-            if low[-1] in ",.;:!?" and low[:-1].isalpha():
-                return self._parts[low[:-1]] + self._parts[low[-1]]
-            return b"".join(map(self._parts.__getitem__, _WORDS.findall(low)))
-        return np.array(self._library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self._words.__getitem__, text.replace("\n", " ").split(" ")))
+        self._others = Remembered(self._other, remembered)
+        self._merge = None
+        if ranks:
+            import tiktoken
+
+            known = dict(ranks)
+            self._blank = known[b" " + _END.encode()]
+            # It looks for special tokens in any case; this one is in no text.
+            special = {2 * _END: max(known.values()) + 1}
+            self._merge = tiktoken.Encoding(
+                "ids", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=known, special_tokens=special
+            ).encode_to_numpy
+
+    def _other(self, word: str) -> np.ndarray:
+        return np.array(self._library.encode(word, add_special_tokens=False).ids, np.uint32)
+
+    def _plain(self, words: pa.Array) -> np.ndarray:
+        """Marks of the words that are split and merged here."""
+        if self._merge is None:
+            return np.zeros(len(words), bool)
+        plain = pc.match_substring_regex(words, _PLAIN)
+        for mark in self._marks:
+            plain = pc.and_not(plain, pc.match_substring(words, mark))
+        return plain.to_numpy(zero_copy_only=False)
+
+    def _each(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words, and where those of each start, with the end of the last."""
+        plain = self._plain(words)
+        found = [self._others[word] if word else np.zeros(0, np.uint32) for word in words.filter(pa.array(~plain)).to_pylist()]
+        size = np.zeros(len(words), np.int64)
+        size[~plain] = [len(ids) for ids in found]
+        start = np.zeros(len(words), np.int64)
+        start[~plain] = np.cumsum(size[~plain]) - size[~plain]
+        if plain.any():
+            # A blank behind each word tells where its ids end.
+            low = " ".join([*words.filter(pa.array(plain)).to_pylist(), ""]).lower()
+            merged = self._merge(_END.join([*_WORDS.findall(low), ""]), disallowed_special=())
+            ends = np.flatnonzero(merged == self._blank)
+            begins = np.concatenate(([0], ends[:-1] + 1))
+            size[plain], start[plain] = ends - begins, begins + size[~plain].sum()
+            found.append(merged)
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.stack((start, size))
+
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, ``end_id`` behind each, and the offsets between texts."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        known, (start, size) = self._each(coded.dictionary)
+        known, start, size = np.append(known, np.uint32(end_id)), np.append(start, len(known)), np.append(size, 1)
+        words = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        code = np.insert(coded.indices.to_numpy(zero_copy_only=False), words, len(coded.dictionary))
+        size = size[code]
+        ends = np.cumsum(size)
+        at = np.repeat(start[code] - (ends - size), size) + np.arange(size.sum())
+        return known[at], np.concatenate(([0], ends[words + np.arange(len(words))]))
 
 
 @lru_cache(maxsize=1)
-def word_ids(vocabulary: str) -> WordIds:
+def word_ids(vocabulary: str, ranks: frozenset[tuple[bytes, int]]) -> WordIds:
     """One for each Python worker, so that later tasks find the words of earlier ones."""
-    return WordIds(vocabulary)
+    return WordIds(vocabulary, ranks)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``): the ids of each row's text and ``end_id``,
     in one piece, or in pieces of ``capacity`` when there are more."""
     with open(tokenizer_path, encoding="utf-8") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
-    end = np.array([end_id], "<u4").tobytes()
+        vocabulary = file.read()
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, merge_ranks(vocabulary)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    width = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(shared.value)
-        for batch in batches:
-            doc, piece, start, length, crc, ids = [], [], [], [], [], []
-            for number, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                body = words.ids(text) + end
-                for i, at in enumerate(range(0, len(body), width)):
-                    part = body[at : at + width]
-                    doc.append(number)
-                    piece.append(i)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-            columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32())]
-            columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        words = word_ids(*shared.value)
+        for whole in batches:
+            for low, high in stretches(buffers(whole.column("text"))[1], _STRETCH):
+                batch = whole.slice(low, high - low)
+                ids, at = words.ids(batch.column("text"), end_id)
+                ids = ids.astype("<u4", copy=False)
+                # Each text has an id at least, its end.
+                number = -(-np.diff(at) // capacity)
+                piece = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+                start = piece * capacity
+                first = np.repeat(at[:-1], number) + start
+                length = np.minimum(capacity, np.repeat(at[1:], number) - first)
+                body = memoryview(ids).cast("B")
+                crc = [zlib.crc32(body[4 * x : 4 * (x + n)]) for x, n in zip(first.tolist(), length.tolist())]
+                doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), number)))
+                columns = [doc, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    bounds = pa.array(np.append(first, len(ids)).astype(np.int32))
+                    columns, names = [*columns, pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32)))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return texts(docs).mapInArrow(cut, schema)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -170,3 +172,45 @@ def test_white_space_is_cut_as_in_the_library(byte_counter):
 @pytest.mark.parametrize("text", ["\n" * 2_000_000, "a" + " \n" * 1_000_000 + "b"])
 def test_two_million_signs_of_white_space(byte_counter, text):
     assert byte_counter.count(text) == len(Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids)
+
+
+def _ids_of(words, texts):
+    ids, at = words.ids(pa.array(texts), 7)
+    return [ids[low:high].tolist() for low, high in zip(at[:-1], at[1:])]
+
+
+def test_every_plain_word_of_a_stretch_is_merged_in_one_call():
+    with open(WORDS, encoding="utf-8") as file:
+        vocabulary = file.read()
+    words = packing.WordIds(vocabulary, packing.merge_ranks(vocabulary))
+    calls, merge = [], words._merge
+    words._merge = lambda text, **options: calls.append(text) or merge(text, **options)
+    rng = random.Random(4)
+    pool = "abcXYZ's  .,!09éÉßñ<|>漢\n\x01\t"
+    texts = ["", " ", "It's ERHE.!! b'll", "<|endoftext|> a<|endoftext|>b", "x" * 100_000]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    expected = Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)
+    assert _ids_of(words, texts) == [[*e.ids, 7] for e in expected]
+    assert len(calls) == 1
+
+
+def test_tokens_that_are_never_made_are_not_merged():
+    with open(WORDS, encoding="utf-8") as file:
+        spec = json.load(file)
+    letters = sorted(spec["model"]["vocab"], key=spec["model"]["vocab"].get)[:512]
+    # "abc" has a merge, but its "ab" is merged before; "cc" meets itself in runs.
+    merges = [["a", "b"], ["b", "c"], ["a", "bc"], ["c", "c"], ["abc", "c</w>"], ["b", "c</w>"], ["cc", "a"]]
+    spec["model"]["merges"] = merges
+    spec["model"]["vocab"] = {token: i for i, token in enumerate([*letters, *("".join(m) for m in merges)])}
+    spec["added_tokens"] = []
+    vocabulary = json.dumps(spec)
+    ranks = packing.merge_ranks(vocabulary)
+    assert b"abc" not in dict(ranks) and b"bc\x01" in dict(ranks) and len(ranks) == 512 + 5
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc ") for _ in range(30)) for _ in range(500)]
+    expected = [[*e.ids, 7] for e in Tokenizer.from_str(vocabulary).encode_batch(texts, add_special_tokens=False)]
+    assert _ids_of(packing.WordIds(vocabulary, ranks), texts) == expected
+    # Numbers that do not follow the merges leave everything to the library.
+    spec["model"]["merges"] = merges[::-1]
+    assert not packing.merge_ranks(json.dumps(spec))
+    assert _ids_of(packing.WordIds(vocabulary, frozenset()), texts) == expected
