@@ -232,9 +232,9 @@ def detect_density(
             raise ValueError("with a text, eps must lie between 0 and 1")
         words = df.withColumn("_words", tokens(F.coalesce(F.col(text), F.lit(""))))
         space = TermSpace(max_features).fit(words, "_words")
-        vector = rarest_first(words, space, "_words", 1 - eps * eps / 2)
-        clustered = durable(words.withColumn("_vector", vector).drop("_words"))
-        keys.append("_vector")
+        # Rows are grouped and joined by the places of their terms, far shorter than the vectors.
+        clustered = durable(words.withColumn("_terms", space.known_terms(words, "_words")).drop("_words"))
+        keys.append("_terms")
     points = durable(
         clustered.groupBy(*keys).agg(F.min(id_column).alias("gid"), F.count(F.lit(1)).alias("w"))
     )
@@ -242,9 +242,15 @@ def detect_density(
     if text is None:
         found = dbscan_points(placed.select("gid", "x", "w"), len(features), eps, min_samples)
     else:
-        vids = durable(placed.groupBy("_vector").agg(F.min("gid").alias("vid"), *box(len(features))))
+        distinct = placed.groupBy("_terms").agg(F.min("gid").alias("vid"), *box(len(features)))
+        vector = rarest_first(distinct, space, "_terms", 1 - eps * eps / 2)
+        distinct = durable(distinct.withColumn("_vector", vector))
+        # A word alone and the same word twice make one vector.
+        ends = [f(c).alias(c) for f, end in ((F.min, "lo"), (F.max, "hi")) for c in (f"{end}{i}" for i in range(len(features)))]
+        vids = durable(distinct.groupBy("_vector").agg(F.min("vid").alias("vid"), *ends))
         near = near_vectors(vids, len(features), eps)
-        named = shuffled(placed.select("gid", "x", "w", "_vector")).join(vids.select("_vector", "vid"), "_vector").drop("_vector")
+        vid_of = shuffled(distinct.select("_terms", "_vector")).join(vids.select("_vector", "vid"), "_vector").drop("_vector")
+        named = shuffled(placed.select("gid", "x", "w", "_terms")).join(vid_of, "_terms").drop("_terms")
         found = dbscan_points(named, len(features), eps, min_samples, near)
     known = shuffled(points).join(found, "gid").drop("gid")
     rows = salted_lookup(clustered, known, keys, "w", [id_column]).select(*df.columns, "is_core", "cluster_id")

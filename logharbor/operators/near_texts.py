@@ -9,7 +9,8 @@ features; boxes too far apart are dropped before terms are compared.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logharbor.operators.term_space import TermSpace
@@ -20,26 +21,32 @@ _BLOCK = 2_000
 _ARRANGED = "struct<idx: array<int>, val: array<double>, head: int>"
 
 
-def rarest_first(df: DataFrame, space: TermSpace, terms: str, least: float) -> Column:
-    """Unit vectors with terms numbered from rare to frequent, and ``head``: leading terms to join for cosines >= ``least``."""
+def rarest_first(df: DataFrame, space: TermSpace, known: str, least: float) -> Column:
+    """Unit vectors of ``known_terms`` with terms numbered from rare to frequent, and ``head``: leading terms to join for
+    cosines >= ``least``."""
     order = np.empty(space.size, np.int32)
     order[np.lexsort((np.arange(space.size), -space.idf))] = np.arange(space.size)
     shared = df.sparkSession.sparkContext.broadcast(order)
 
-    @F.pandas_udf(_ARRANGED)
-    def arrange(vectors: pd.DataFrame) -> pd.DataFrame:
-        indices, values, heads = [], [], []
-        for places, weights in zip(vectors["idx"], vectors["val"]):
-            ranks = shared.value[np.asarray(places, np.int64)]
-            by_rank = np.argsort(ranks)
-            weights = np.asarray(weights, float)[by_rank]
-            behind = np.append(np.cumsum((weights * weights)[::-1])[::-1], 0.0)
-            indices.append(ranks[by_rank])
-            values.append(weights)
-            heads.append(int(np.argmax(behind < least * least - 1e-9)))
-        return pd.DataFrame({"idx": indices, "val": values, "head": np.array(heads, np.int32)})
-
-    return arrange(space.vectors(df, terms))
+    @F.arrow_udf(_ARRANGED)
+    def arrange(vectors: pa.Array) -> pa.Array:
+        places, counts = vectors.field("idx"), pc.list_value_length(vectors.field("idx")).to_numpy(zero_copy_only=False)
+        ranks = shared.value[places.flatten().to_numpy(zero_copy_only=False)]
+        by_rank = np.lexsort((ranks, np.repeat(np.arange(len(counts)), counts)))
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        weights = vectors.field("val").flatten().to_numpy(zero_copy_only=False)[by_rank]
+        heads = np.zeros(len(counts), np.int32)
+        # Vectors of one length together, so that equal ones are summed alike in whatever batch they come.
+        for count in np.unique(counts[counts > 0]).tolist():
+            at = np.flatnonzero(counts == count)
+            some = weights[ends[at][:, None] + np.arange(count)]
+            behind = np.cumsum((some * some)[:, ::-1], axis=1)[:, ::-1]
+            heads[at] = (behind >= least * least - 1e-9).sum(axis=1)
+        offsets = pa.array(ends, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (ranks[by_rank], weights)]
+        return pa.StructArray.from_arrays([*lists, pa.array(heads)], names=["idx", "val", "head"])
+
+    return arrange(space.vectors_of_known(df, known))
 
 
 def box(d: int) -> list[Column]:

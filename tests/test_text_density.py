@@ -86,3 +86,48 @@ def test_messages_with_nulls_and_an_empty_table(log_rows):
 def test_eps_must_leave_room_for_the_terms(log_rows):
     with pytest.raises(ValueError):
         detect_message_density(log_rows([("a", 1, None, "INFO", "x")]), eps=1.0)
+
+
+def test_vectors_of_equal_messages_are_equal_in_any_batch(spark):
+    from pyspark.sql import functions as F
+
+    from logharbor.operators.term_space import TermSpace
+
+    pick = np.random.default_rng(5)
+    rows = [(i, [str(w) for w in pick.choice(WORDS, pick.integers(0, 9))] + ["unknown"] * (i % 2)) for i in range(400)]
+    frame = spark.createDataFrame([*rows, *((i + 1000, w[::-1]) for i, w in rows)], "id bigint, terms array<string>").repartition(7)
+    space = TermSpace(10).fit(frame.where("id < 300"))
+    kept = frame.withColumn("known", space.known_terms(frame)).withColumn("plain", space.vectors(frame))
+    kept = kept.withColumn("short", space.vectors_of_known(kept, "known")).withColumn("v", near_texts.rarest_first(kept, space, "known", 0.9))
+    got = {r["id"]: r for r in kept.collect()}
+    order = np.lexsort((np.arange(space.size), -space.idf)).argsort()
+    for i, words in rows:
+        row = got[i]
+        places = sorted(space.terms.index(w) for w in words if w in space.terms)
+        assert np.frombuffer(row["known"], "<i4").tolist() == places
+        assert row["short"] == row["plain"] and row["plain"]["idx"] == sorted(set(places))
+        assert [row[c] for c in ("known", "plain", "v")] == [got[i + 1000][c] for c in ("known", "plain", "v")]
+        idx, val, head = row["v"]
+        assert idx == sorted(order[sorted(set(places))].tolist())
+        behind = np.append(np.cumsum(np.square(val)[::-1])[::-1], 0.0)
+        assert head == int(np.argmax(behind < 0.9**2 - 1e-9))
+    assert kept.where(F.size("terms") == 0).count() > 0
+
+
+def test_repeated_words_keep_one_vector_and_stay_together(spark):
+    rows = [(i, " ".join(["quota"] * (1 + i % 3)), 0.0) for i in range(9)] + [(9, "lease table", 0.0)]
+    found = detect_density(spark.createDataFrame(rows, "line_number bigint, message string, a double"), ["a"], 0.5, 9, text="message")
+    assert {r["line_number"]: r["cluster_id"] for r in found.collect()} == {**{i: 0 for i in range(9)}, 9: -1}
+
+
+def test_words_of_plain_and_other_texts(spark):
+    from pyspark.sql import functions as F
+
+    from logharbor.functions import text as X
+    from logharbor.operators.tfidf import tokens
+
+    texts = ["a bb_1 c3-dd ERR0R's x", "Ünïcödé ß straße 漢字 é̂e", "\tab\ncd\x01ef", "İstanbul I", "", "_ __ 1 22", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    wide = F.regexp_extract_all(F.lower("t"), F.lit(X.UNICODE + r"\b\w\w+\b"), F.lit(0))
+    rows = frame.select(tokens(F.col("t"), []).alias("got"), wide.alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
