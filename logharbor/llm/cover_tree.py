@@ -51,10 +51,10 @@ def _rows(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def build_tree(points: np.ndarray, smallest: float) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def build_tree(points: np.ndarray, smallest: float, radius: float = 1.0) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Order of the points and levels (starts, centres, radii): nodes are stretches of the order.
 
-    The first level has radius 1, each next one half of that, down to ``smallest``; a level without a
+    The first level has ``radius``, each next one half of that, down to ``smallest``; a level without a
     new node is left out.
     """
     n = len(points)
@@ -65,7 +65,6 @@ def build_tree(points: np.ndarray, smallest: float) -> tuple[np.ndarray, list[tu
     def reach(owner: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(((points - points[owner]) ** 2).sum(axis=1), 0))
 
-    radius = 1.0
     distance = reach(centres[node])
     while True:
         cosine = 1 - radius * radius / 2
@@ -111,7 +110,7 @@ class _Tree:
         self.points, self.weights = _units(vectors), weights
         self.total = np.concatenate(([0], np.cumsum(weights)))
         self.levels = [
-            (np.append(np.array(x["starts"], np.int64), len(vectors)), np.array(x["centres"], np.int64), np.array(x["radii"]))
+            (np.append(np.asarray(x["starts"], np.int64), len(vectors)), np.asarray(x["centres"], np.int64), np.asarray(x["radii"], np.float64))
             for x in levels
         ]
 
@@ -224,16 +223,23 @@ def _meet(a: _Tree, b: _Tree, at_least: float, same: bool, chunk: int = 2_000_00
 
     _, centre_a, radius_a = a.level(0)
     _, centre_b, radius_b = b.level(0)
-    right = b.points[centre_b]
+    # Centres c, d may have a pair below them if c.d >= 1 - (limit + r + s)^2 / 2. The square comes apart into what r has
+    # alone and a product of r and s, so one product of matrices in single precision, with room for its rounding, leaves
+    # few pairs of nodes to settle in double precision.
+    far = limit + radius_a + 1e-6
+    left = np.column_stack([a.points[centre_a], far, np.ones(len(far))]).astype(np.float32)
+    right = np.column_stack([b.points[centre_b], radius_b, radius_b * radius_b / 2]).astype(np.float32).T
+    least = (1 - far * far / 2 - 1e-5 - 1e-6 * left.shape[1]).astype(np.float32)
     for low in range(0, len(centre_a), 512):
-        square = 2 - 2 * (a.points[centre_a[low : low + 512]] @ right.T)
-        radii = radius_a[low : low + 512, None] + radius_b[None, :]
-        p, q = np.nonzero(square <= (limit + radii + 1e-6) ** 2)
-        keep: list[tuple[np.ndarray, np.ndarray]] = []
-        distance = np.sqrt(((a.points[centre_a[p + low]] - b.points[centre_b[q]]) ** 2).sum(axis=1)) if len(p) else np.zeros(0)
-        settle(0, p + low, q, distance, radii[p, q], keep)
-        for x, y in keep:
-            walk(0, x, y)
+        found = np.flatnonzero(left[low : low + 512] @ right >= least[low : low + 512, None])
+        for part in range(0, len(found), 200_000):
+            p, q = np.divmod(found[part : part + 200_000], len(centre_b))
+            p += low
+            keep: list[tuple[np.ndarray, np.ndarray]] = []
+            distance = np.sqrt(((a.points[centre_a[p]] - b.points[centre_b[q]]) ** 2).sum(axis=1))
+            settle(0, p, q, distance, radius_a[p] + radius_b[q], keep)
+            for x, y in keep:
+                walk(0, x, y)
     return links_a, links_b, forest
 
 
@@ -299,7 +305,8 @@ def _class_links(classes: DataFrame, count: int, width: int, at_least: float, bl
         group = group.sort_values("position")
         vectors = np.stack([np.pad(np.asarray(v, dtype), (0, width - len(v))) for v in group["embedding"]])
         points = _units(vectors)
-        order, levels = build_tree(points, smallest)
+        # No node wider than the limit is ever counted as a whole.
+        order, levels = build_tree(points, smallest, 8 * smallest)
         centre = points.mean(axis=0)
         return pd.DataFrame(
             {
@@ -333,17 +340,18 @@ def _class_links(classes: DataFrame, count: int, width: int, at_least: float, bl
     left = blocks.select("block", *(F.col(c).alias(f"{c}_a") for c in ("nodes", "weights", "vectors", "levels")))
     right = blocks.select(F.col("block").alias("other"), *(F.col(c).alias(f"{c}_b") for c in ("nodes", "weights", "vectors", "levels")))
 
-    def tree(row: dict, side: str) -> tuple[np.ndarray, _Tree]:
-        nodes, weights = (np.frombuffer(row[f"{c}_{side}"], np.int64) for c in ("nodes", "weights"))
-        vectors = np.frombuffer(row[f"vectors_{side}"], dtype).reshape(len(nodes), width)
-        return nodes, _Tree(vectors, weights, row[f"levels_{side}"])
+    def tree(batch: pa.RecordBatch, number: int, side: str) -> tuple[np.ndarray, _Tree]:
+        nodes, weights = (np.frombuffer(batch.column(f"{c}_{side}")[number].as_buffer(), np.int64) for c in ("nodes", "weights"))
+        vectors = np.frombuffer(batch.column(f"vectors_{side}")[number].as_buffer(), dtype).reshape(len(nodes), width)
+        levels = batch.column(f"levels_{side}")[number].values
+        stretches = [{c: levels.field(c)[at].values.to_numpy() for c in ("starts", "centres", "radii")} for at in range(len(levels))]
+        return nodes, _Tree(vectors, weights, stretches)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number in range(batch.num_rows):
-                row = batch.slice(number, 1).to_pylist()[0]
-                (nodes_a, a), (nodes_b, b) = tree(row, "a"), tree(row, "b")
-                same = row["block"] == row["other"]
+                (nodes_a, a), (nodes_b, b) = tree(batch, number, "a"), tree(batch, number, "b")
+                same = batch.column("block")[number].as_py() == batch.column("other")[number].as_py()
                 links_a, links_b, forest = _meet(a, b, at_least, same)
                 if same:
                     names, links, pairs = nodes_a, links_a, forest

@@ -90,3 +90,22 @@ def test_links_of_a_dense_cluster(spark):
     expected = (units @ units.T >= 0.95).sum(axis=1) - 1
     got = {r["vec_id"]: r["n_links"] for r in cover_tree.near_vectors(frame).collect()}
     assert [got[i] for i in range(len(vectors))] == expected.tolist()
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.25, 2.0])
+def test_nodes_of_the_first_level_meet_as_points_do(spread):
+    """Wide nodes, narrow ones and single points; few pairs of points in random directions are looked at one by one."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 16))
+    trees = []
+    for _ in range(2):
+        points = cover_tree._units(centres[rng.integers(0, 30, 500)] + rng.normal(size=(500, 16)) * spread)
+        limit = float(np.sqrt(0.1))
+        order, levels = cover_tree.build_tree(points, limit / 8, limit)
+        stretches = [{"starts": s, "centres": c, "radii": r} for s, c, r in levels]
+        assert all(x["radii"].max() <= limit + 1e-6 for x in stretches)
+        trees.append(cover_tree._Tree(points[order], np.ones(500, np.int64), stretches))
+    a, b = trees
+    near = a.points @ b.points.T >= 0.95
+    links_a, links_b, _ = cover_tree._meet(a, b, 0.95, False)
+    assert (links_a == near.sum(axis=1)).all() and (links_b == near.sum(axis=0)).all()
